@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgrove.llm import entropy_mix, phrase_index, toxicity, virtual_slots
+from simgrove.llm import entropy_mix, near_dedup, phrase_index, toxicity, virtual_slots
 from simgrove.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("n_links")
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -28,6 +32,6 @@ def op10_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op5_virtual_slots, op9_entropy_mix, op10_phrase_index)
+    f.__name__: f for f in (op1_toxicity, op2_odd_sketch, op5_virtual_slots, op9_entropy_mix, op10_phrase_index)
 }
-ORACLE_SQL: dict[str, str] = {"op10_phrase_index": phrase_index.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_odd_sketch": near_dedup.ORACLE, "op10_phrase_index": phrase_index.ORACLE}
