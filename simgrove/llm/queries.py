@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgrove.llm import entropy_mix, near_dedup, phrase_index, toxicity, virtual_slots
+from simgrove.llm import elias_fano, entropy_mix, hilbert_ann, near_dedup, phrase_index, toxicity, virtual_slots, warc_merge
 from simgrove.llm.common import table
 
 
@@ -23,6 +23,20 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return elias_fano.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op8_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_merge.archive_pages(table(spark, sf_dir, "pages")).drop("span", "place")
+
+
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entropy_mix.mix(table(spark, sf_dir, "documents")).drop("text_key")
 
@@ -32,6 +46,6 @@ def op10_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_odd_sketch, op5_virtual_slots, op9_entropy_mix, op10_phrase_index)
+    f.__name__: f for f in (op1_toxicity, op2_odd_sketch, op5_virtual_slots, op6_hilbert_ann, op7_elias_fano, op8_warc_merge, op9_entropy_mix, op10_phrase_index)
 }
-ORACLE_SQL: dict[str, str] = {"op2_odd_sketch": near_dedup.ORACLE, "op10_phrase_index": phrase_index.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_odd_sketch": near_dedup.ORACLE, "op8_warc_merge": warc_merge.ORACLE, "op10_phrase_index": phrase_index.ORACLE}
