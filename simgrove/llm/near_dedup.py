@@ -4,9 +4,10 @@ Texts become sets of five-word shingles. SAMPLES MinHash values fill BANDS bands
 population count of two bitmaps' XOR estimates how many samples differ, and so a high similarity, before any text is read again.
 Pairs that pass are confirmed on the full shingle sets.
 
-Rows with equal sets are one class from the start. In each band bucket every member is compared with the bucket's smallest; after the
-components of those links, only buckets that still hold several components are compared inside, block by block, where a pair becomes a
-row only if its bitmaps are close and its components differ. So large groups of copies need no pairs of their own, and no bucket is cut short.
+Rows with equal sets are one class from the start. In each band bucket every member is compared with one pivot; then, in buckets
+that still hold several components, with other pivots for ROUNDS rounds. What is still apart is compared inside its bucket, block by block,
+where a pair becomes a row only if its components differ, its bitmaps are close and this is its first common band. So large groups of
+copies need no pairs of their own, and no bucket is cut short.
 At similarity 0.75 a pair misses all bands with probability 5e-6, and the bitmap test (0.5) with less.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and kept; fewer than five words make one shingle; rows with
@@ -29,7 +30,7 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 LOW = 0.5
-BLOCK = 1024
+BLOCK, ROUNDS = 1024, 6
 #: ids of 8 bytes: up to so many are broadcast
 BROADCAST_IDS = 2_000_000
 
@@ -173,12 +174,15 @@ def _close_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             side = m.field("block").to_numpy()
             odd = m.field("odd").flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
             bi, bj = batch.column("bi")[r].as_py(), batch.column("bj")[r].as_py()
+            bands = m.field("bands").flatten().to_numpy().reshape(len(node), -1)
+            here = batch.column("bucket")[r].as_py()
             left, right = np.flatnonzero(side == bi), np.flatnonzero(side == bj)
             for i in left:
                 j = right if bi != bj else right[right > i]
                 j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * PERCENT)]
                 if len(j):
                     j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64) <= limit]
+                    j = j[bands[i][np.argmax(bands[j] == bands[i], axis=1)] == here]
                     a_out.append(np.minimum(node[j], node[i]))
                     b_out.append(np.maximum(node[j], node[i]))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
@@ -197,28 +201,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     light = reps.select("rep", "n", "odd")
     a = light.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
     b = light.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
-    pairs = members.filter("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    pairs = pairs.join(a, "a").join(b, "b").filter(likely(F.col("oa"), F.col("ob"), F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    pairs = stored(pairs, "pairs")
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    links = stored(confirm(pairs, plain, 2 * pairs.count()).distinct(), "links")
-    labels = components(links)
-
-    # buckets that still hold several components
-    comp = members.select("bucket", "rep", "size").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    comp = stored(comp, "bucket_components")
-    mixed = comp.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
+    found: list[DataFrame] = []
+
+    def grown(labels: DataFrame, pairs: DataFrame) -> DataFrame | None:
+        """Labels after the links among pairs; None without new links."""
+        pairs = stored(pairs, "pairs")
+        n = pairs.count()
+        if not n:
+            return None
+        links = stored(confirm(pairs, plain, 2 * n).distinct(), "links")
+        found.append(links)
+        by_a = links.join(labels.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a")
+        between = by_a.join(labels.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        new = labels.join(joined, "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
+        return stored(new, "labels")
+
+    def mixed_buckets(labels: DataFrame) -> DataFrame:
+        c = members.join(labels, "rep")
+        apart = c.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
+        return c.join(apart, "bucket")
+
+    labels = stored(members.select("rep").distinct().withColumn("component", F.col("rep")), "labels")
+    for turn in range(ROUNDS):
+        c = stored(mixed_buckets(labels), "mixed")
+        pivots = c.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("p"))
+        tried = c.join(pivots, "bucket").filter("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
+        tried = tried.join(a, "a").join(b, "b").filter(likely(F.col("oa"), F.col("ob"), F.col("na"), F.col("nb"))).select("a", "b")
+        new = grown(labels, tried)
+        labels = labels if new is None else new
+        if new is None and c.isEmpty():
+            break
+    # what is still apart: every pair that can be a link, within its first common bucket
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = comp.join(mixed, "bucket").join(light, "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    m = m.withColumn("o", F.explode(other)).withColumns({"bi": F.least("block", "o"), "bj": F.greatest("block", "o")})
-    m = m.groupBy("bucket", "bi", "bj").agg(F.collect_list(F.struct("rep", "component", "n", "block", "odd")).alias("m"))
-    more = m.select("bi", "bj", "m").mapInArrow(_close_pairs, "a long, b long").distinct()
-    more = stored(more.join(pairs, ["a", "b"], "left_anti"), "more_pairs")
-    n_more = more.count()
-    if n_more:
-        links = stored(links.union(confirm(more, plain, 2 * n_more)).distinct(), "all_links")
-        labels = components(links)
+    m = mixed_buckets(labels).join(reps.select("rep", "n", "odd", "bands"), "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("block", "o"), "bj": F.greatest("block", "o")})
+    m = m.groupBy("bucket", "bi", "bj").agg(F.collect_list(F.struct("rep", "component", "n", "block", "odd", "bands")).alias("m"))
+    new = grown(labels, m.select("bucket", "bi", "bj", "m").mapInArrow(_close_pairs, "a long, b long").distinct())
+    labels = (labels if new is None else new).withColumnRenamed("rep", "node")
+    links = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
+    for part in found:
+        links = links.union(part)
+    links = links.distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
     final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "n_links")
     out = s.select("doc_id", "n", "digest").join(final.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
