@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from simgrove.llm import elias_fano, entropy_mix, hilbert_ann, near_dedup, phrase_index, suffix_dedup, toxicity, virtual_slots, warc_merge
+from simgrove.llm import elias_fano, entropy_mix, hilbert_ann, katz_lm, near_dedup, phrase_index, suffix_dedup, toxicity, virtual_slots, warc_merge
 from simgrove.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,6 @@ def op10_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_odd_sketch, op3_suffix_dedup, op5_virtual_slots, op6_hilbert_ann, op7_elias_fano, op8_warc_merge, op9_entropy_mix, op10_phrase_index)
+    f.__name__: f for f in (op1_toxicity, op2_odd_sketch, op3_suffix_dedup, op4_katz, op5_virtual_slots, op6_hilbert_ann, op7_elias_fano, op8_warc_merge, op9_entropy_mix, op10_phrase_index)
 }
 ORACLE_SQL: dict[str, str] = {"op2_odd_sketch": near_dedup.ORACLE, "op8_warc_merge": warc_merge.ORACLE, "op10_phrase_index": phrase_index.ORACLE}
