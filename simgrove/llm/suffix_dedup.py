@@ -32,6 +32,8 @@ from simgrove.llm.packed import Batch, batched, pack, release, unpack
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
+#: text bytes of a batch, and buckets for each shuffle partition: a task's arrays take about 100 times a batch's or 150 times a bucket's text
+BATCH, SPREAD = 2 << 20, 4
 #: a minimizer in so many documents of a batch-sized share is "very common"
 COMMON = 64
 NONE = np.iinfo(np.int64).max
@@ -248,8 +250,8 @@ def _flags(b: Batch, w: Windows, buckets: int, answers: list[dict]) -> tuple[np.
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
-    buckets = n_partitions(spark)
-    store = batched(docs, doc_id, text)
+    buckets = SPREAD * n_partitions(spark)
+    store = batched(docs, doc_id, text, BATCH)
 
     def ask_minimizers(batches):
         for rb in batches:
