@@ -11,7 +11,8 @@ times the word's own probability; unknown words share the mass that discounting
 
 Documents stay in packed batches. A batch asks hash buckets about its distinct words, then about its distinct bigrams, and the buckets count
 and answer; a frequent context is spread over buckets by following word, and its sums are put together afterwards (at most 2 * buckets contexts are
-frequent by definition). Hashes of 64 bits for words, 48 for a word after its context, stand for the words.
+frequent by definition). Hashes of 64 bits stand for the words; in bigrams a word is its rank by count in its bucket, times the number of buckets, plus
+the bucket: a number that is small for frequent words and needs no further agreement.
 
 Defined results: a null or empty text has the end token alone; a null id counts as the text '' in the fold and comes back null; without training documents all words are unknown,
 train_tokens is 0 and the score is 0; repeated rows count as often as they occur; an empty table gives an empty result; other columns are not read.
@@ -31,8 +32,6 @@ from simgrove.llm.packed import Batch, batched, from_planes, pack, planes, relea
 
 K_MAX = 5
 END, START = np.uint64(0x1D5EED0000000001), np.uint64(0x1D5EED0000000002)
-W_BYTES = 6
-W_MASK = np.uint64((1 << 8 * W_BYTES) - 1)
 
 
 def discounts(n_of: dict[int, int], k: int = K_MAX) -> list[float]:
@@ -110,12 +109,25 @@ def _word_bucket(u: np.ndarray, buckets: int) -> np.ndarray:
     return (mix64(u) % np.uint64(buckets)).astype(np.int64)
 
 
-def _word_counts(t: Tokens, buckets: int, answers: list[dict]) -> np.ndarray:
-    out = np.zeros(len(t.u), np.int64)
+def _word_counts(t: Tokens, buckets: int, answers: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and numbers of the batch's distinct words."""
+    out, number = np.zeros(len(t.u), np.int64), np.zeros(len(t.u), np.uint64)
     o, edge = _dealt(_word_bucket(t.u, buckets), buckets)
     for a in answers:
-        out[o[edge[a["bucket"]] : edge[a["bucket"] + 1]]] = unpack(a["answer"], np.uint32)
-    return out
+        at = o[edge[a["bucket"]] : edge[a["bucket"] + 1]]
+        x, y = _parts(a["answer"], 2)
+        out[at] = from_planes(x)
+        number[at] = from_planes(y) * np.uint64(buckets) + np.uint64(a["bucket"])
+    return out, number
+
+
+def _joined(parts: list[bytes]) -> bytes:
+    return np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)
+
+
+def _parts(b: bytes, n: int) -> list[bytes]:
+    at = np.concatenate([[8 * n], 8 * n + np.cumsum(np.frombuffer(b, "<u8", n).astype(np.int64))])
+    return [b[at[i] : at[i + 1]] for i in range(n)]
 
 
 class Bigrams:
@@ -177,12 +189,14 @@ def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
         c = np.bincount(inv, np.concatenate([unpack(x, np.uint32) for x in t.column("counts").to_pylist()])).astype(np.int64)
         bucket = t.column("bucket")[0].as_py()
         rows, at = [], 0
-        back = c[inv].astype(np.uint32)
+        rank = np.empty(len(u), np.uint64)
+        rank[np.argsort(-c, kind="stable")] = np.arange(len(u), dtype=np.uint64)
+        back, ranks = c[inv], rank[inv]
         for k, b in zip(keys, t.column("batch").to_pylist()):
-            rows.append(("answer", b, bucket, pack(back[at : at + len(k)])))
+            rows.append(("answer", b, bucket, _joined([planes(back[at : at + len(k)]), planes(ranks[at : at + len(k)])])))
             at += len(k)
         seen = c > 0
-        rows.append(("words", None, bucket, pack(np.concatenate([u[seen], c[seen].astype(np.uint64)]))))
+        rows.append(("words", None, bucket, _joined([pack(u[seen]), planes(c[seen]), planes(rank[seen])])))
         rows.append(("sums", None, bucket, pack(np.concatenate([[c.sum(), seen.sum()], _counts_of_counts(c)]).astype(np.int64))))
         return _table(rows, _TELL)
 
@@ -212,28 +226,28 @@ def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
         rows: list[tuple] = []
         for row in left.to_pylist():
             t = Tokens(Batch(row))
-            c = _word_counts(t, buckets, right.to_pylist())
+            c, number = _word_counts(t, buckets, right.to_pylist())
             g = Bigrams(t, c, n, buckets)
             for k in np.flatnonzero(np.diff(g.edge)):
                 at = g.order[g.edge[k] : g.edge[k + 1]]
                 first, runs = _contexts(g.ctx[at])
                 heads = g.ctx[at][first]
-                rows.append((int(k), row["batch"], pack(t.u[heads]), pack(runs.astype(np.uint32)), pack(np.packbits(g.frequent[heads])), planes(t.u[g.w[at]], W_BYTES), pack(c[g.w[at]].astype(np.uint32)), pack(g.train[at].astype(np.uint32))))
+                rows.append((int(k), row["batch"], planes(number[heads]), planes(runs), pack(np.packbits(g.frequent[heads])), planes(number[g.w[at]]), planes(c[g.w[at]]), planes(g.train[at])))
         return _table(rows, ask2)
 
     def count_bigrams(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
-        heads = [unpack(x, np.uint64) for x in t.column("contexts").to_pylist()]
-        runs = [unpack(x, np.uint32).astype(np.int64) for x in t.column("runs").to_pylist()]
+        heads = [from_planes(x) for x in t.column("contexts").to_pylist()]
+        runs = [from_planes(x).astype(np.int64) for x in t.column("runs").to_pylist()]
         often = [np.unpackbits(unpack(x, np.uint8))[: len(h)].astype(bool) for x, h in zip(t.column("frequent").to_pylist(), heads)]
         ctxs, ctx = np.unique(np.concatenate(heads), return_inverse=True)
         frequent = np.zeros(len(ctxs), bool)
         frequent[ctx[np.concatenate(often)]] = True
-        ws = np.concatenate([from_planes(x, W_BYTES) for x in t.column("ws").to_pylist()])
-        own = np.concatenate([unpack(x, np.uint32) for x in t.column("own").to_pylist()])
-        counts = np.concatenate([unpack(x, np.uint32) for x in t.column("counts").to_pylist()])
+        ws = np.concatenate([from_planes(x) for x in t.column("ws").to_pylist()])
+        own = np.concatenate([from_planes(x) for x in t.column("own").to_pylist()])
+        counts = np.concatenate([from_planes(x) for x in t.column("counts").to_pylist()]).astype(np.int64)
         each = np.repeat(ctx, np.concatenate(runs))
-        o = np.lexsort((ws, each))
+        o = np.argsort((each.astype(np.uint64) << np.uint64(32)) | ws) if ws.max() < 1 << 32 else np.lexsort((ws, each))
         new = np.ones(len(o), bool)
         new[1:] = (each[o][1:] != each[o][:-1]) | (ws[o][1:] != ws[o][:-1])
         pair = np.empty(len(o), np.int64)
@@ -245,16 +259,15 @@ def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
         sums = np.stack([np.bincount(e, c, minlength=len(ctxs)).astype(np.int64), *(np.bincount(e, c == r, minlength=len(ctxs)).astype(np.int64) for r in range(1, K_MAX + 1))])
         mass = np.bincount(e, words.p(own[lead][seen]), minlength=len(ctxs))
         rows, at, h_at = [], 0, 0
-        back = total[pair].astype(np.uint32)
+        back = total[pair]
         for h, r, b in zip(heads, runs, t.column("batch").to_pylist()):
             m = int(r.sum())
             x = ctx[h_at : h_at + len(h)]
             # counts in the order asked; then for each context its sums and its seen words' mass
-            parts = [pack(back[at : at + m]), pack(sums[:, x].astype(np.uint32)), pack(mass[x])]
-            rows.append(("answer", b, bucket, np.array([len(p) for p in parts], "<u8").tobytes() + b"".join(parts)))
+            rows.append(("answer", b, bucket, _joined([planes(back[at : at + m]), planes(sums[:, x].ravel()), pack(mass[x])])))
             at, h_at = at + m, h_at + len(h)
         first, lens = _contexts(e)
-        rows.append(("bigrams", None, bucket, pack(np.concatenate([[len(first)], ctxs[e[first]], lens.astype(np.uint64), ws[lead][seen], c.astype(np.uint64)]).astype(np.uint64))))
+        rows.append(("bigrams", None, bucket, _joined([planes(ctxs[e[first]]), planes(lens), planes(ws[lead][seen]), planes(c)])))
         rows.append(("sums", None, bucket, pack(np.concatenate([[c.sum(), len(c)], _counts_of_counts(c)]).astype(np.int64))))
         f = np.flatnonzero(frequent)
         if len(f):
@@ -282,21 +295,20 @@ def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
                 continue
             t = Tokens(b)
             answers = right.to_pylist()
-            c = _word_counts(t, buckets, [a for a in answers if a["kind"] == "answer"])
+            c, number = _word_counts(t, buckets, [a for a in answers if a["kind"] == "answer"])
             g = Bigrams(t, c, n, buckets)
             count = np.zeros(len(g.key), np.int64)
             sums, mass = np.zeros((K_MAX + 1, len(t.u))), np.zeros(len(t.u))
             for a in answers:
                 if a["kind"] == "bigrams":
                     at = g.order[g.edge[a["bucket"]] : g.edge[a["bucket"] + 1]]
-                    size = np.frombuffer(a["answer"], "<u8", 3).astype(int)
-                    x, y, z = (a["answer"][24 + int(size[:i].sum()) : 24 + int(size[: i + 1].sum())] for i in range(3))
-                    count[at] = unpack(x, np.uint32)
+                    x, y, z = _parts(a["answer"], 3)
+                    count[at] = from_planes(x)
                     heads = g.ctx[at][_contexts(g.ctx[at])[0]]
-                    sums[:, heads] = unpack(y, np.uint32).reshape(K_MAX + 1, -1)
+                    sums[:, heads] = from_planes(y).reshape(K_MAX + 1, -1)
                     mass[heads] = unpack(z, np.float64)
             for h in np.flatnonzero(g.frequent):
-                if (whole := frequent.get(int(t.u[h]))) is not None:
+                if (whole := frequent.get(int(number[h]))) is not None:
                     sums[:, h], mass[h] = whole
             own = words.p(c)
             # a context's discounted mass: all its counts, less what the rare ones lose

@@ -31,13 +31,15 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
-def planes(a: np.ndarray, width: int) -> bytes:
-    """The lowest `width` bytes of each number, one plane after the other: bytes of the same place compress best together."""
-    return pack(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1)[:, :width].T)
+def planes(a: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs, one plane of bytes after the other: bytes of the same place compress best together."""
+    a = np.ascontiguousarray(a, np.uint64)
+    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+    return bytes([width]) + pack(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), 8)[:, :width].T))
 
 
-def from_planes(b: bytes, width: int) -> np.ndarray:
-    raw = unpack(b, np.uint8)
+def from_planes(b: bytes) -> np.ndarray:
+    width, raw = b[0], unpack(b[1:], np.uint8)
     out = np.zeros((len(raw) // width, 8), np.uint8)
     out[:, :width] = raw.reshape(width, -1).T
     return out.view(np.uint64)[:, 0]
