@@ -210,6 +210,16 @@ class CachedTokenizer:
         return [b"".join([pieces[p] for p in parts]) for parts in split]
 
 
+_TOKENIZERS: dict[str, CachedTokenizer] = {}
+
+
+def tokenizer_at(path: str) -> CachedTokenizer:
+    """One tokenizer for each Python worker: what earlier tasks learnt stays known."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = CachedTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 def write_segments(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Writes the segments and returns the manifest: segment, path, n_docs, n_ids, start (ids in all segments before)."""
     spark = docs.sparkSession
@@ -217,7 +227,7 @@ def write_segments(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1
     d = d.repartitionByRange(n_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, part, k = CachedTokenizer(tokenizer), TaskContext.get().partitionId(), 0
+        t, part, k = tokenizer_at(tokenizer), TaskContext.get().partitionId(), 0
         end = np.array([end_id], t.dtype).tobytes()
         names: list[int | None] = []
         lengths: list[int] = []
