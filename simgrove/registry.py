@@ -1,4 +1,8 @@
 """Registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from simgrove.plans import geometry, work
+
+QUERIES: dict = geometry.Q | work.Q
+ORACLE_SQL: dict[str, str] = geometry.SQL | work.SQL
