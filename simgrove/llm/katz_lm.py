@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simgrove.llm.common import discard, mix64, n_partitions, stored, word_hashes, words_of
-from simgrove.llm.packed import Batch, batched, from_planes, pack, planes, release, unpack
+from simgrove.llm.packed import Batch, batched, from_planes, order_of, pack, planes, release, unpack
 
 K_MAX = 5
 END, START = np.uint64(0x1D5EED0000000001), np.uint64(0x1D5EED0000000002)
@@ -101,7 +101,7 @@ class Tokens:
 
 
 def _dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    o = np.argsort(bucket, kind="stable")
+    o = order_of(bucket)
     return o, np.searchsorted(bucket[o], np.arange(buckets + 1))
 
 

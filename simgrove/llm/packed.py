@@ -31,6 +31,11 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype)
 
 
+def order_of(bucket: np.ndarray) -> np.ndarray:
+    """A stable order by small numbers; 16-bit ones are sorted by radix."""
+    return np.argsort(bucket.astype(np.uint16) if not len(bucket) or bucket.max() < 1 << 16 else bucket, kind="stable")
+
+
 def planes(a: np.ndarray) -> bytes:
     """Whole numbers in as few bytes as the largest needs, one plane of bytes after the other: bytes of the same place compress best together."""
     a = np.ascontiguousarray(a, np.uint64)

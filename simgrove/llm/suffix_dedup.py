@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simgrove.llm.common import discard, mix64, n_partitions, powers, stored
-from simgrove.llm.packed import Batch, batched, pack, release, unpack
+from simgrove.llm.packed import Batch, batched, order_of, pack, release, unpack
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
@@ -38,14 +38,14 @@ BATCH, SPREAD = 2 << 20, 4
 COMMON = 64
 NONE = np.iinfo(np.int64).max
 _BYTE = np.random.default_rng(71).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_P, _STEP = np.uint64(0xD6E8FEB86659FD93), 1 << 17
+_P, _STEP = np.uint64(0xD6E8FEB86659FD93), 1 << 14
 _PINV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 _POW, _INV = powers(_STEP + LENGTH, _P), powers(_STEP + LENGTH + 1, _PINV)
 HIGH = np.uint64(1 << 63)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 63-bit hash of the GRAM bytes at each place."""
+    """A 63-bit hash of the GRAM bytes at each place, in pieces that stay in the processor's cache."""
     n = len(data) - GRAM + 1
     out = np.zeros(max(0, n), np.uint64)
     with np.errstate(over="ignore"):
@@ -54,18 +54,36 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
             piece = data[lo : hi + GRAM - 1]
             run = np.zeros(len(piece) + 1, np.uint64)
             np.cumsum(_BYTE[piece] * _POW[: len(piece)], out=run[1:])
-            out[lo:hi] = mix64((run[GRAM:] - run[:-GRAM]) * _INV[: hi - lo]) >> np.uint64(1)
+            v = (run[GRAM:] - run[:-GRAM]) * _INV[: hi - lo]
+            v ^= v >> np.uint64(32)
+            v *= np.uint64(0x9E3779B97F4A7C15)
+            out[lo:hi] = v >> np.uint64(1)
     return out
 
 
 def sliding_min(h: np.ndarray, span: int) -> np.ndarray:
-    """Minimum of each `span` neighbours, by doubling."""
-    width, out = 1, h
-    while 2 * width <= span:
-        out = np.minimum(out[: len(out) - width], out[width:])
-        width *= 2
-    rest = span - width
-    return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+    """Minimum of each `span` neighbours, by doubling, in pieces that stay in the processor's cache."""
+    n = len(h) - span + 1
+    out = np.zeros(max(0, n), h.dtype)
+    for lo in range(0, max(0, n), _STEP):
+        hi = min(n, lo + _STEP)
+        part, width = h[lo : hi + span - 1], 1
+        while 2 * width <= span:
+            part = np.minimum(part[: len(part) - width], part[width:])
+            width *= 2
+        rest = span - width
+        out[lo:hi] = np.minimum(part[: len(part) - rest], part[rest:]) if rest else part
+    return out
+
+
+def is_one_of(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of h are among the sorted keys: a table of their low bits first, the keys themselves for what is left."""
+    low = np.zeros(1 << 16, bool)
+    low[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+    out = low[(h & np.uint64(0xFFFF)).astype(np.int64)]
+    at = np.flatnonzero(out)
+    out[at] = keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]
+    return out
 
 
 class Windows:
@@ -85,7 +103,7 @@ class Windows:
         for e in b.offsets[1:-1]:
             ok[max(0, e - LENGTH + 1) : e] = False
         self.starts = np.flatnonzero(ok)
-        self.doc = np.searchsorted(b.offsets, self.starts, side="right") - 1
+        self.doc = np.repeat(np.arange(len(b.ids)), np.diff(b.offsets))[self.starts]
         self.m = whole[self.starts]
 
     def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +126,16 @@ class Windows:
         out = Runs()
         if not len(keys) or not len(self.m):
             return out
-        at = np.minimum(np.searchsorted(keys, self.m), len(keys) - 1)
-        hit = (keys[at] == self.m) & (flags[at] > 0)
+        # neighbours mostly share their minimizer: one search for each change
+        new = np.ones(len(self.m), bool)
+        new[1:] = self.m[1:] != self.m[:-1]
+        edge = np.flatnonzero(new)
+        at = np.minimum(np.searchsorted(keys, self.m[edge]), len(keys) - 1)
+        hit = np.repeat((keys[at] == self.m[edge]) & (flags[at] > 0), np.diff(np.append(edge, len(self.m))))
         route = self.m
         common = keys[flags > 1]
         if len(common):
-            c = np.minimum(np.searchsorted(common, self.h), len(common) - 1)
-            route = sliding_min(np.where(common[c] == self.h, self.h | HIGH, self.h), SPAN)[self.starts]
+            route = sliding_min(np.where(is_one_of(self.h, common), self.h | HIGH, self.h), SPAN)[self.starts]
         sel = np.flatnonzero(hit)
         if not len(sel):
             return out
@@ -145,7 +166,33 @@ class Runs:
         bucket = np.zeros(len(names), np.int64)
         bucket[self.name] = (mix64(self.route) % np.uint64(buckets)).astype(np.int64)
         self.bucket = bucket
-        self.by_bucket = np.argsort(bucket, kind="stable")
+        self.by_bucket = order_of(bucket)
+
+
+def named(x: np.ndarray) -> np.ndarray:
+    """Dense ranks from 0: equal values have equal names, in the values' order."""
+    o = np.argsort(x)
+    y = x[o]
+    new = np.zeros(len(x), np.int64)
+    new[1:] = y[1:] != y[:-1]
+    out = np.empty(len(x), np.int64)
+    out[o] = np.cumsum(new)
+    return out
+
+
+def named_pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Dense ranks of pairs of small numbers. Where they fit, a pair and its place are one 64-bit number, which sorts faster than an order is found."""
+    bits, place = int(y.max()).bit_length(), len(x).bit_length()
+    key = (x.astype(np.uint64) << np.uint64(bits)) | y.astype(np.uint64)
+    if int(x.max()).bit_length() + bits + place > 64:
+        return named(key)
+    z = np.sort((key << np.uint64(place)) | np.arange(len(x), dtype=np.uint64))
+    value = z >> np.uint64(place)
+    new = np.zeros(len(x), np.int64)
+    new[1:] = value[1:] != value[:-1]
+    out = np.empty(len(x), np.int64)
+    out[(z & np.uint64((1 << place) - 1)).astype(np.int64)] = np.cumsum(new)
+    return out
 
 
 def repeated_windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -158,9 +205,9 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     d = data.astype(np.uint64)
     size = len(d)
-    sym = d[: size - 7].copy()
-    for k in range(1, 8):
-        sym = (sym << np.uint64(8)) | d[k : size - 7 + k]
+    two = (d[:-1] << np.uint64(8)) | d[1:]
+    four = (two[:-2] << np.uint64(16)) | two[2:]
+    sym = (four[:-4] << np.uint64(32)) | four[4:]
     # sampled places at which names are needed: residues 1 and 2 at window starts and up to two places after, and 24 further on
     need = np.zeros(size + 1, bool)
     for k in (0, 1, 2):
@@ -174,25 +221,18 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     places = places[places + 24 <= size]
     # triples of 8-byte symbols, sorted and named
     a, b, c = sym[places], sym[places + 8], sym[places + 16]
-    o = np.argsort(a, kind="stable")
-    tie = np.zeros(len(o), bool)
-    tie[1:] = a[o][1:] == a[o][:-1]
-    group = np.cumsum(~tie) - 1
-    inside = np.flatnonzero(tie | np.append(tie[1:], False))
-    if len(inside):
-        oi = o[inside]
-        o[inside] = oi[np.lexsort((c[oi], b[oi], group[inside]))]
-    new = np.ones(len(o), bool)
-    new[1:] = (a[o][1:] != a[o][:-1]) | (b[o][1:] != b[o][:-1]) | (c[o][1:] != c[o][:-1])
+    first = named(a)
+    triple = first
+    tied = np.flatnonzero(np.bincount(first)[first] > 1)
+    if len(tied):
+        rest = np.zeros(len(places), np.int64)  # single first symbols need no more
+        rest[tied] = named_pairs(named_pairs(first[tied], named(b[tied])), named(c[tied]))
+        triple = named_pairs(first, rest)
     name = np.zeros(size + 1, np.uint64)
-    name[places[o]] = np.cumsum(new).astype(np.uint64)
+    name[places] = triple.astype(np.uint64) + np.uint64(1)
     # the recursion: names 24 places apart, for prefixes of 48 bytes
-    pair = (name[at] << np.uint64(32)) | name[at + 24]
-    o = np.argsort(pair, kind="stable")
-    new = np.ones(len(o), bool)
-    new[1:] = pair[o][1:] != pair[o][:-1]
     rank = np.zeros(size + 3, np.uint64)
-    rank[at[o]] = np.cumsum(new).astype(np.uint64)
+    rank[at] = named_pairs(name[at].astype(np.int64), name[at + 24].astype(np.int64)).astype(np.uint64) + np.uint64(1)
     # each residue's windows in order, by what the cover gives: rank and the bytes that are left
     r = starts % 3
     lists = {k: starts[r == k] for k in (0, 1, 2)}
@@ -211,7 +251,7 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     own = {0: 1, 1: 0, 2: 0}  # the least shift to a sampled place
     shared = {(0, 1): 1, (0, 2): 2, (1, 2): 0}  # a shift that brings both residues to sampled places
     for k in lists:
-        lists[k] = lists[k][np.argsort(key(lists[k], own[k]), kind="stable")]
+        lists[k] = lists[k][np.argsort(key(lists[k], own[k]))]
     place = {k: np.arange(len(lists[k])) for k in lists}
     for (i, j), shift in shared.items():
         x, y = key(lists[i], shift), key(lists[j], shift)
@@ -221,10 +261,11 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     for k in lists:
         order[place[k]] = lists[k]
     # neighbours with equal prefixes
-    same = np.ones(n - 1, bool) if n > 1 else np.zeros(0, bool)
-    p, q = order[:-1], order[1:]
+    same = np.zeros(max(0, n - 1), bool)
+    left = np.arange(max(0, n - 1))
     for k in (*range(0, LENGTH - 7, 8), LENGTH - 8):
-        same &= sym[p + k] == sym[q + k]
+        left = left[sym[order[left] + k] == sym[order[left + 1] + k]]
+    same[left] = True
     number = np.concatenate([[0], np.cumsum(~same)])
     back = np.zeros(size + 1, np.int64)
     back[order] = number
@@ -240,7 +281,7 @@ def _flags(b: Batch, w: Windows, buckets: int, answers: list[dict]) -> tuple[np.
     keys, _ = w.minimizers()
     flags = np.zeros(len(keys), np.uint8)
     bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
-    o = np.argsort(bucket, kind="stable")
+    o = order_of(bucket)
     edge = np.searchsorted(bucket[o], np.arange(buckets + 1))
     for a in answers:
         flags[o[edge[a["bucket"]] : edge[a["bucket"] + 1]]] = unpack(a["answer"], np.uint8)
@@ -258,7 +299,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             for row in rb.to_pylist():
                 keys, counts = Windows(Batch(row)).minimizers()
                 bucket = (mix64(keys) % np.uint64(buckets)).astype(np.int64)
-                o = np.argsort(bucket, kind="stable")
+                o = order_of(bucket)
                 edge = np.searchsorted(bucket[o], np.arange(buckets + 1))
                 rows = [(k, row["batch"], pack(keys[o[edge[k] : edge[k + 1]]].astype(np.uint32)), pack(np.minimum(counts[o[edge[k] : edge[k + 1]]], 255).astype(np.uint8))) for k in range(buckets) if edge[k + 1] > edge[k]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _ASK1)], schema=_ASK1)
