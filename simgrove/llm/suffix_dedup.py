@@ -5,7 +5,7 @@ Every string of LENGTH bytes that also starts in a document with a smaller id is
 1. Windows go to buckets by content: a window's minimizer is the smallest hash of its GRAM-byte pieces, so equal windows have equal minimizers. A
    count over all documents tells which minimizers occur in two documents or more; windows with other minimizers cannot repeat.
 2. The remaining windows travel as runs: neighbouring windows with one minimizer are one string, kept once for each batch with its smallest
-   document. Very common minimizers only route by the next smallest, so that what surrounds a common line spreads over buckets.
+   document. Windows with a very common minimizer route by the next smallest hash, so that what surrounds a common line spreads over buckets.
 3. Each bucket sorts its suffixes by a difference cover modulo 3: places with residue 1 and 2 are sampled; triples of their 8-byte
    symbols are sorted and named; the recursion sorts triples of names; the remaining suffixes take a byte and the name after it; the three sorted
    lists merge by the residues' common offsets. Suffixes are compared to LENGTH bytes. Neighbours with equal prefixes form groups,
@@ -41,7 +41,6 @@ _BYTE = np.random.default_rng(71).integers(1, 2**63, 256, dtype=np.uint64) * np.
 _P, _STEP = np.uint64(0xD6E8FEB86659FD93), 1 << 14
 _PINV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
 _POW, _INV = powers(_STEP + LENGTH, _P), powers(_STEP + LENGTH + 1, _PINV)
-HIGH = np.uint64(1 << 63)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -76,13 +75,26 @@ def sliding_min(h: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def is_one_of(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of h are among the sorted keys: a table of their low bits first, the keys themselves for what is left."""
-    low = np.zeros(1 << 16, bool)
-    low[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-    out = low[(h & np.uint64(0xFFFF)).astype(np.int64)]
-    at = np.flatnonzero(out)
-    out[at] = keys[np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)] == h[at]
+def second_min(h: np.ndarray, span: int) -> np.ndarray:
+    """The second smallest different value of each `span` neighbours; the greatest number where all are equal."""
+
+    def merged(a1, a2, b1, b2):
+        low = np.minimum(a1, b1)
+        rest = np.minimum(a2, b2)
+        return low, np.where(a1 == b1, rest, np.minimum(np.maximum(a1, b1), rest))
+
+    n = len(h) - span + 1
+    out = np.zeros(max(0, n), h.dtype)
+    for lo in range(0, max(0, n), _STEP):
+        hi = min(n, lo + _STEP)
+        one, width = h[lo : hi + span - 1], 1
+        two = np.full(len(one), np.iinfo(np.uint64).max, np.uint64)
+        while 2 * width <= span:
+            one, two = merged(one[:-width], two[:-width], one[width:], two[width:])
+            width *= 2
+        if rest := span - width:
+            one, two = merged(one[:-rest], two[:-rest], one[rest:], two[rest:])
+        out[lo:hi] = two
     return out
 
 
@@ -133,9 +145,9 @@ class Windows:
         at = np.minimum(np.searchsorted(keys, self.m[edge]), len(keys) - 1)
         hit = np.repeat((keys[at] == self.m[edge]) & (flags[at] > 0), np.diff(np.append(edge, len(self.m))))
         route = self.m
-        common = keys[flags > 1]
-        if len(common):
-            route = sliding_min(np.where(is_one_of(self.h, common), self.h | HIGH, self.h), SPAN)[self.starts]
+        if (flags > 1).any():  # a window's route is a matter of its own bytes and of its own minimizer's flag, which all batches know
+            often = np.repeat((keys[at] == self.m[edge]) & (flags[at] > 1), np.diff(np.append(edge, len(self.m))))
+            route = np.where(often, second_min(self.h, SPAN)[self.starts], self.m)
         sel = np.flatnonzero(hit)
         if not len(sel):
             return out
