@@ -30,7 +30,7 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 LOW = 0.5
-BLOCK, ROUNDS = 1024, 6
+BLOCK, ROUNDS = 1024, 4
 #: ids of 8 bytes: up to so many are broadcast
 BROADCAST_IDS = 2_000_000
 
@@ -224,21 +224,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return c.join(apart, "bucket")
 
     labels = stored(members.select("rep").distinct().withColumn("component", F.col("rep")), "labels")
+    apart = True
     for turn in range(ROUNDS):
         c = stored(mixed_buckets(labels), "mixed")
+        apart = not c.isEmpty()
+        if not apart:
+            break
         pivots = c.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("p"))
         tried = c.join(pivots, "bucket").filter("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
         tried = tried.join(a, "a").join(b, "b").filter(likely(F.col("oa"), F.col("ob"), F.col("na"), F.col("nb"))).select("a", "b")
         new = grown(labels, tried)
         labels = labels if new is None else new
-        if new is None and c.isEmpty():
-            break
     # what is still apart: every pair that can be a link, within its first common bucket
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     m = mixed_buckets(labels).join(reps.select("rep", "n", "odd", "bands"), "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("block", "o"), "bj": F.greatest("block", "o")})
     m = m.groupBy("bucket", "bi", "bj").agg(F.collect_list(F.struct("rep", "component", "n", "block", "odd", "bands")).alias("m"))
-    new = grown(labels, m.select("bucket", "bi", "bj", "m").mapInArrow(_close_pairs, "a long, b long").distinct())
+    new = grown(labels, m.select("bucket", "bi", "bj", "m").mapInArrow(_close_pairs, "a long, b long").distinct()) if apart else None
     labels = (labels if new is None else new).withColumnRenamed("rep", "node")
     links = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
     for part in found:

@@ -105,6 +105,9 @@ def test_near_duplicates(docs, rows):
 
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
+    from simgrove.llm import components
+
+    monkeypatch.setattr(components, "SMALL", 0)
     monkeypatch.setattr(near_dedup, "ROUNDS", 0)
     monkeypatch.setattr(near_dedup, "BLOCK", 5)
     rows = corpus(9, 50)
