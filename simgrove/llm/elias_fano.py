@@ -17,6 +17,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +155,7 @@ class CachedTokenizer:
     """The tokenizer, asked once for each piece of text between white space.
 
     Its pieces never reach over white space, so a text's ids are its pieces' ids in order. Pieces of Latin-1 text are looked up
-    word by word and new words are encoded together; the ids of word ends tell them apart again. Anything else is encoded as it stands.
+    word by word and new words are encoded together; the ids of word ends tell them apart again. Other pieces are encoded as they stand.
     """
 
     def __init__(self, path: str):
@@ -167,7 +168,9 @@ class CachedTokenizer:
         self.dtype = f"<u{self.width}"
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
-        self.special = [w.encode() for w, i in vocab.items() if w.startswith("<|")]
+        special = [w.encode() for w, i in vocab.items() if w.startswith("<|")]
+        # texts with a special token's name, or with white space that bytes.split and the tokenizer see differently, are encoded whole
+        self.odd = [b"\xc2\x85", b"\xc2\xa0", b"\x1c", b"\x1d", b"\x1e", b"\x1f", *special]
         self.pieces: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -189,25 +192,39 @@ class CachedTokenizer:
                     self.words[w] = self._plain(w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "replace").split() for t in texts]
+        raw = [(t or "").encode("utf-8", "replace") for t in texts]
+        odd = [i for i, r in enumerate(raw) if any(map(r.__contains__, self.odd))]
+        split = [r.split() for r in raw]
+        for i in odd:
+            split[i] = []
         if len(self.pieces) > CACHE:
             self.pieces.clear()
         if len(self.words) > CACHE:
             self.words.clear()
-        new = {p for parts in split for p in parts if p not in self.pieces}
-        simple, words = {}, set()
-        for p in new:
+        pieces = self.pieces
+        simple: list[tuple[bytes, list[str]]] = []
+        for p in set(chain.from_iterable(split)).difference(pieces):
             s = p.decode("utf-8", "replace")
-            if max(s) <= "\xff" and not any(x in p for x in self.special) and "\x85" not in s and "\xa0" not in s and not any("\x1c" <= c <= "\x1f" for c in s):
-                simple[p] = ws = PIECES.findall(s.lower())
-                words.update(w for w in ws if w not in self.words)
+            if not p.isascii() and max(s) > "\xff":
+                pieces[p] = self._plain(s)
+                continue
+            s = s.lower()
+            if s.isalpha():
+                ws = [s]
+            elif s[-1] in ".," and s[:-1].isalpha():
+                ws = [s[:-1], s[-1]]
             else:
-                self.pieces[p] = self._plain(s)
-        self._learn_words(sorted(words))
-        for p, ws in simple.items():
-            self.pieces[p] = b"".join([self.words[w] for w in ws])
-        pieces = self.pieces
-        return [b"".join([pieces[p] for p in parts]) for parts in split]
+                ws = PIECES.findall(s)
+            simple.append((p, ws))
+        self._learn_words(sorted(set(chain.from_iterable(ws for _, ws in simple)).difference(self.words)))
+        ids = self.words.__getitem__
+        for p, ws in simple:
+            pieces[p] = ids(ws[0]) if len(ws) == 1 else b"".join(map(ids, ws))
+        found = pieces.__getitem__
+        out = [b"".join(map(found, parts)) for parts in split]
+        for i in odd:
+            out[i] = self._plain(texts[i])
+        return out
 
 
 _TOKENIZERS: dict[str, CachedTokenizer] = {}
