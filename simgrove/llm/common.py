@@ -40,12 +40,26 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there and lost executors take nothing along."""
     spark = df.sparkSession
     path = path or scratch_path(spark, name)
-    df.write.parquet(path)
+    write_table(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._simgrove_path = path
     return out
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Writes df; the shuffle files of the write go with its end, since the table takes their place."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by stored() that no later plan reads."""
     path = getattr(df, "_simgrove_path", None)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import discard, mix64, n_partitions, stored, word_hashes, words_of
+from simgrove.llm.common import discard, mix64, n_partitions, scratch_path, stored, word_hashes, words_of, write_table
 from simgrove.llm.packed import Batch, batched, from_planes, order_of, pack, planes, release, unpack
 
 K_MAX = 5
@@ -201,10 +201,8 @@ def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
         return _table(rows, _TELL)
 
     def stored_by_kind(df: DataFrame, name: str) -> DataFrame:
-        from simgrove.llm.common import scratch_path
-
         path = scratch_path(spark, name)
-        df.write.partitionBy("kind").parquet(path)
+        write_table(df, path, ("kind",))
         out = spark.read.schema("batch long, bucket int, answer binary, kind string").parquet(path).select("kind", "batch", "bucket", "answer")
         out._simgrove_path = path
         return out
