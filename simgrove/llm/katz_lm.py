@@ -20,6 +20,7 @@ train_tokens is 0 and the score is 0; repeated rows count as often as they occur
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,18 +36,41 @@ END, START = np.uint64(0x1D5EED0000000001), np.uint64(0x1D5EED0000000002)
 
 
 def discounts(n_of: dict[int, int], k: int = K_MAX) -> list[float]:
-    """d(1..k) by Good-Turing as Katz has it, 1 above k. Where counts of counts don't allow it (d outside 0 to 1), absolute discounting by n1 / (n1 + 2 n2)."""
+    """d(1..k) by Good-Turing as Katz has it, 1 above k: from the counts of counts themselves, or where these don't allow it (a d outside 0 to 1, as when
+    copied texts raise some n(r)) from their log-linear smoothing over all counts. Absolute discounting by n1 / (n1 + 2 n2) is left where the smoothed n(r) don't fall faster than 1 / r."""
     n = [n_of.get(r, 0) for r in range(k + 2)]
-    cut = (k + 1) * n[k + 1] / n[1] if n[1] else 1.0
-    if 0 <= cut < 1 and all(n[1 : k + 2]):
-        d = [((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) for r in range(1, k + 1)]
-        if all(0 < x < 1 for x in d):
-            return d
+    if (d := _good_turing(n, k)) is None:
+        d = _good_turing(smoothed(n_of, k), k)
+    if d is not None:
+        return d
     less = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
     less = min(max(less, 0.1), 0.9)
     return [1 - less / r for r in range(1, k + 1)]
 
 
+def _good_turing(n: list[float], k: int) -> list[float] | None:
+    if not all(n[1 : k + 2]):
+        return None
+    cut = (k + 1) * n[k + 1] / n[1]
+    if not 0 <= cut < 1:
+        return None
+    d = [((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) for r in range(1, k + 1)]
+    return d if all(0 < x < 1 for x in d) else None
+
+
+def smoothed(n_of: dict[int, int], k: int = K_MAX) -> list[float]:
+    """n(0..k+1) on the line log n = a + b log r. It is fitted to each count's n(r) averaged over the gap to its neighbours (Gale and Sampson), weighted by n(r); zeros without a word of count 1 or a second count."""
+    r = np.array(sorted(r for r, m in n_of.items() if r > 0 and m > 0), float)
+    if len(r) < 2 or r[0] > 1:
+        return [0.0] * (k + 2)
+    m = np.array([n_of[int(x)] for x in r], float)
+    below, above = np.append(0, r[:-1]), np.append(r[1:], 2 * r[-1] - r[-2])
+    x, y = np.log(r), np.log(2 * m / (above - below))
+    x0, y0 = np.average(x, weights=m), np.average(y, weights=m)
+    slope = float((m * (x - x0) * (y - y0)).sum() / (m * (x - x0) ** 2).sum())
+    return [0.0, *(float(np.exp(y0 + slope * (np.log(q) - x0))) for q in range(1, k + 2))]
+
+
 @dataclass
 class Words:
     """The unigram level: N tokens, V distinct, discounts; probabilities of counts."""
@@ -163,8 +187,11 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-def _counts_of_counts(c: np.ndarray) -> np.ndarray:
-    return np.bincount(np.minimum(c, K_MAX + 2), minlength=K_MAX + 3)
+def _sums(c: np.ndarray) -> bytes:
+    """A bucket's total and number of counts above 0, and its counts of counts: a count of N tokens has at most sqrt(2 N) different values."""
+    c = c[c > 0]
+    r, m = np.unique(c, return_counts=True)
+    return _joined([pack(np.array([c.sum(), len(c)], np.int64)), planes(r), planes(m)])
 
 
 def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_model: bool = False) -> DataFrame:
@@ -197,7 +224,7 @@ def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
             at += len(k)
         seen = c > 0
         rows.append(("words", None, bucket, _joined([pack(u[seen]), planes(c[seen]), planes(rank[seen])])))
-        rows.append(("sums", None, bucket, pack(np.concatenate([[c.sum(), seen.sum()], _counts_of_counts(c)]).astype(np.int64))))
+        rows.append(("sums", None, bucket, _sums(c)))
         return _table(rows, _TELL)
 
     def stored_by_kind(df: DataFrame, name: str) -> DataFrame:
@@ -207,16 +234,20 @@ def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
         out._simgrove_path = path
         return out
 
-    def summed(df: DataFrame) -> np.ndarray:
-        """The buckets' sums, a few numbers each."""
-        rows = [unpack(r[0], np.int64) for r in df.filter("kind = 'sums'").select("answer").collect()]
-        return np.sum(rows, axis=0) if rows else np.zeros(K_MAX + 5, np.int64)
+    def summed(df: DataFrame) -> tuple[int, int, dict[int, int]]:
+        """The buckets' totals, numbers of distinct keys, and counts of counts."""
+        n, v, n_of = 0, 0, Counter()
+        for row in df.filter("kind = 'sums'").select("answer").collect():  # one a bucket
+            x, y, z = _parts(row[0], 3)
+            n, v = (a + int(b) for a, b in zip((n, v), unpack(x, np.int64)))
+            for r, m in zip(from_planes(y).tolist(), from_planes(z).tolist()):
+                n_of[int(r)] += int(m)
+        return n, v, n_of
 
     words_table = stored_by_kind(store.mapInArrow(ask_words, "bucket int, batch long, keys binary, counts binary").groupBy("bucket").applyInArrow(count_words, TELL), "katz_words")
     release(spark)
-    s = summed(words_table)
-    n, v = int(s[0]), int(s[1])
-    words = Words.fit(n, v, {r: int(s[2 + r]) for r in range(1, K_MAX + 2)})
+    n, v, n_of = summed(words_table)
+    words = Words.fit(n, v, n_of)
     answers1 = words_table.filter("kind = 'answer'")
     ask2 = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("contexts", pa.binary()), ("runs", pa.binary()), ("frequent", pa.binary()), ("ws", pa.binary()), ("own", pa.binary()), ("counts", pa.binary())])
 
@@ -266,7 +297,7 @@ def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
             at, h_at = at + m, h_at + len(h)
         first, lens = _contexts(e)
         rows.append(("bigrams", None, bucket, _joined([planes(ctxs[e[first]]), planes(lens), planes(ws[lead][seen]), planes(c)])))
-        rows.append(("sums", None, bucket, pack(np.concatenate([[c.sum(), len(c)], _counts_of_counts(c)]).astype(np.int64))))
+        rows.append(("sums", None, bucket, _sums(c)))
         f = np.flatnonzero(frequent)
         if len(f):
             rows.append(("frequent", None, bucket, _frequent_rows(ctxs[f], sums[:, f], mass[f])))
@@ -275,8 +306,7 @@ def fit_and_score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k
     asked = store.groupBy("batch").cogroup(answers1.groupBy("batch")).applyInArrow(ask_bigrams, "bucket int, batch long, contexts binary, runs binary, frequent binary, ws binary, own binary, counts binary")
     bigrams_table = stored_by_kind(asked.groupBy("bucket").applyInArrow(count_bigrams, TELL), "katz_bigrams")
     release(spark)
-    s = summed(bigrams_table)
-    d = discounts({r: int(s[2 + r]) for r in range(1, K_MAX + 2)})
+    d = discounts(summed(bigrams_table)[2])
     frequent: dict[int, tuple[np.ndarray, float]] = {}
     for r in sorted(bigrams_table.filter("kind = 'frequent'").select("bucket", "answer").collect()):  # at most 2 * buckets contexts
         a = np.frombuffer(r["answer"], np.float64).reshape(K_MAX + 3, -1)

@@ -230,6 +230,37 @@ def test_katz_edges(spark, docs):
     assert [(r["n_tokens"], math.isfinite(r["score"])) for r in got] == [(1, True)] * 2
 
 
+# counts of counts 1 to 7 and some above, of the training folds of sf0.1: copied texts raise n5
+COPIED = ({1: 207344, 2: 59772, 3: 25017, 4: 14274, 5: 13493, 6: 7080, 7: 5515, 8: 4389, 9: 3635, 10: 3381, 11: 2349, 12: 2063}, {1: 1579638, 2: 246704, 3: 51653, 4: 21705, 5: 18939, 6: 7580, 7: 5397, 8: 3840, 9: 3021, 10: 2722, 11: 1804, 12: 1503})
+
+
+def test_katz_discounts_of_copied_texts():
+    for n_of in COPIED:
+        got = katz_lm.discounts(n_of)
+        less = n_of[1] / (n_of[1] + 2 * n_of[2])
+        assert all(0 < a < 1 for a in got) and got == sorted(got)
+        assert not math.isclose(got[1], 1 - less / 2, rel_tol=1e-3)  # not absolute discounting
+    # an exact power law n(r) ~ r^-2, spoilt at 5 only: Good-Turing of the law, nearly
+    law = {r: round(1e9 / r**2) for r in range(1, 60)}
+    want, got = katz_lm.discounts(law), katz_lm.discounts(law | {5: 2 * law[5]})
+    assert all(abs(a - b) < 0.02 for a, b in zip(want, got))
+    cut = 6 * law[6] / law[1]
+    assert all(math.isclose(want[r - 1], ((r + 1) * law[r + 1] / (r * law[r]) - cut) / (1 - cut)) for r in range(1, 6))
+
+
+def test_katz_counts_of_counts_are_whole(spark, rows):
+    """Scores against brute force on texts whose discounts come from the smoothing, counts far above K_MAX included."""
+    rng = random.Random(8)
+    some = [(i, " ".join(f"w{int(1 / rng.random() ** 1.2)}" for _ in range(120)), "s") for i in range(100)]
+    some += [(1000 + i, " ".join(f"c{j}" for j in range(120)), "s") for i in range(6)]
+    n, want, p1, p2, u, bi = brute_katz(some)
+    for c in (Counter(u.values()), Counter(x for y in bi.values() for x in y.values() if x)):
+        assert katz_lm._good_turing([c[r] for r in range(7)], 5) is None and katz_lm.discounts(c) == katz_lm._good_turing(katz_lm.smoothed(c), 5)
+    got = by_id(katz_lm.fit_and_score(frame(spark, some)))
+    for i, (_, _, _, score) in want.items():
+        assert math.isclose(got[i]["score"], score, rel_tol=1e-9)
+
+
 # ---- shards
 
 def test_shards(spark, docs, rows):
