@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from simgrove.operators import curve, forest, layers, sift, similarity, spectral
 from simgrove.sources import features as src
 
 TH = [0.5, 0.45, 0.4, 0.35, 0.3, 0.26]
+#: thresholds of a whole sweep, from 1.0 to convergence
+STEPS = 1000
 LAYER = "embedding"
 
 
@@ -152,8 +156,8 @@ def connected_components(spark, sf):
 
 
 @query(P + "select step::bigint step, threshold, count(*) num_components from k group by 1, 2")
-def component_curve(spark, sf):
-    m = model(spark, sf)
+def component_curve(spark, sf, steps=None):
+    m = model(spark, sf, steps)
     return sift.component_curve(m["msf"], m["s"], m["g"]).select("step", "threshold", "num_components")
 
 
@@ -232,29 +236,29 @@ def cluster_rank(spark, sf):
 
 
 @query(P + f"select step::bigint step, threshold, count(*) num_clusters, string_agg({JOINED.format('members')}, '|' order by cluster_id) clusters from k group by 1, 2")
-def threshold_snapshots(spark, sf):
-    m = model(spark, sf)
+def threshold_snapshots(spark, sf, steps=None):
+    m = model(spark, sf, steps)
     s = tracking.threshold_snapshots(m["t"], m["g"])
     return s.select("step", "threshold", "num_clusters", F.array_join(F.transform("clusters", dash), "|").alias("clusters"))
 
 
 @query(P + f"select i sample_id, step::bigint step, threshold, cluster_id, size cluster_size, md5({JOINED.format('members')}) members, (size - 1)::bigint n_co from mk")
-def sample_history(spark, sf):
-    m = model(spark, sf)
+def sample_history(spark, sf, steps=None):
+    m = model(spark, sf, steps)
     h = tracking.sample_history(m["t"], m["g"])
     return h.select("sample_id", "step", "threshold", "cluster_id", "cluster_size", F.md5(dash("members")).alias("members"), F.size("co_clustered_with").cast("long").alias("n_co"))
 
 
 @query(EV + f"select step::bigint step, threshold, new_id resulting_cluster_id, {JOINED.format('nm')} resulting_cluster, {JOINED.format('ids')} merged_cluster_ids, size samples_involved from ev")
-def merge_events(spark, sf):
-    m = model(spark, sf)
+def merge_events(spark, sf, steps=None):
+    m = model(spark, sf, steps)
     e = tracking.merge_events(m["t"], m["g"])
     return e.select("step", "threshold", "resulting_cluster_id", dash("resulting_cluster").alias("resulting_cluster"), dash("merged_cluster_ids").alias("merged_cluster_ids"), "samples_involved")
 
 
 @query(TREE + "select t threshold, case when size = 1 then 'leaf' else 'internal' end node_type, case when size = 1 then rep end sample_id, size, rep min_member from sp join th on th.step = l")
-def tree_nodes(spark, sf):
-    m = model(spark, sf)
+def tree_nodes(spark, sf, steps=None):
+    m = model(spark, sf, steps)
     return tracking.tree_nodes(m["t"], m["g"]).select("threshold", "node_type", "sample_id", "size", "min_member")
 
 
@@ -262,8 +266,8 @@ TREE_EDGES = TREE + "select p.rep parent_min, p.size parent_size, c.rep child_mi
 
 
 @query(TREE_EDGES)
-def tree_edges(spark, sf):
-    m = model(spark, sf)
+def tree_edges(spark, sf, steps=None):
+    m = model(spark, sf, steps)
     return tracking.tree_edges(m["t"], m["g"]).select("parent_min", "parent_size", "child_min", "child_size")
 
 
@@ -277,21 +281,21 @@ def subset_test(spark, sf):
 
 
 @query(P + "select i sample_id, (row_number() over (order by i) - 1)::bigint as position from mk where step = 0 and size = 1")
-def sample_order(spark, sf):
-    m = model(spark, sf)
+def sample_order(spark, sf, steps=None):
+    m = model(spark, sf, steps)
     return tracking.sample_order(m["t"], m["g"]).select("sample_id", "position")
 
 
 @query(P + """, h as (select i, step, threshold, size, lag(size, 1, 1) over (partition by i order by step) b from mk)
 select i sample_id, arg_min(threshold, step) filter (where size > 1) first_merge_threshold, coalesce(arg_min(size, step) filter (where size > 1), 1)::bigint first_merge_size, arg_max(size, step) final_cluster_size, count(*) filter (where size <> b) clustering_events from h group by i""")
-def sample_trajectories(spark, sf):
-    m = model(spark, sf)
+def sample_trajectories(spark, sf, steps=None):
+    m = model(spark, sf, steps)
     return tracking.sample_trajectories(m["t"], m["g"]).select("sample_id", "first_merge_threshold", "first_merge_size", "final_cluster_size", "clustering_events")
 
 
 @query(EV + "select row_number() over (order by step, new_id) as rank, nm[1] i, nm[2] j, threshold from ev where size = 2 qualify row_number() over (order by step, new_id) <= 5")
-def most_similar_pairs(spark, sf):
-    m = model(spark, sf)
+def most_similar_pairs(spark, sf, steps=None):
+    m = model(spark, sf, steps)
     return tracking.most_similar_pairs(m["t"], m["g"]).select("rank", "i", "j", "threshold")
 
 
@@ -365,7 +369,7 @@ def critical_threshold(spark, sf):
 
 @query()
 def boundary_flag(spark, sf):
-    m = model(spark, sf, 200)
+    m = model(spark, sf, STEPS)
     c = sift.component_curve(m["msf"], m["s"], m["g"])
     return curve.critical_threshold(curve.smooth_curve(c, curve.fit_sigmoid(c)))
 
@@ -419,7 +423,7 @@ def analyze_layers(spark, sf):
     f = src.layered(spark, sf)
     msf = forest.max_spanning_forest(f).cache()
     conv = sift.find_convergence(msf, f)
-    return _analysis(conv, sift.component_curve(msf, f, sift.grids(conv, 250)))
+    return _analysis(conv, sift.component_curve(msf, f, sift.grids(conv, STEPS)))
 
 
 
@@ -547,7 +551,7 @@ def pivot_first_merge(spark, sf):
     f = src.layered(spark, sf)
     msf = forest.max_spanning_forest(f).cache()
     names = [f"layer_{k}" for k in range(1, 5)]
-    t = tracking.sample_trajectories(forest.component_table(msf, f), sift.grids(sift.find_convergence(msf, f), 100))
+    t = tracking.sample_trajectories(forest.component_table(msf, f), sift.grids(sift.find_convergence(msf, f), STEPS))
     return layers.pivot_first_merge(t, names)
 
 
@@ -574,7 +578,7 @@ def validate_matrix(spark, sf):
 
 @query()
 def viz_layer(spark, sf):
-    m = model(spark, sf, 200)
+    m = model(spark, sf, STEPS)
     c = sift.component_curve(m["msf"], m["s"], m["g"])
     return viz.layer_plot(c, curve.smooth_curve(c, curve.fit_sigmoid(c)))
 
@@ -600,7 +604,7 @@ def viz_filtration(spark, sf):
 def viz_layers(spark, sf):
     f = src.layered(spark, sf)
     msf = forest.max_spanning_forest(f).cache()
-    c = sift.component_curve(msf, f, sift.grids(sift.find_convergence(msf, f), 100))
+    c = sift.component_curve(msf, f, sift.grids(sift.find_convergence(msf, f), STEPS))
     s = curve.smooth_curve(c, curve.fit_sigmoid(c))
     return s.select("layer", "threshold", "components").unionByName(curve.critical_threshold(s).select("layer", F.col("critical_threshold").alias("threshold"), F.lit(None).cast("double").alias("components")))
 
@@ -625,3 +629,9 @@ select class_id, sample_id from y""")
 def viz_grid(spark, sf):
     m = model(spark, sf)
     return viz.class_grid(tracking.class_partitions(m["t"], m["g"], 0.3))
+
+
+# The SQL of these queries has the thresholds TH, above which merges are no events; NAME_whole is the same over the whole sweep, without SQL.
+WHOLE = [component_curve, threshold_snapshots, sample_history, merge_events, tree_nodes, tree_edges, sample_order, sample_trajectories, most_similar_pairs]
+for _f in WHOLE:
+    Q[f"{_f.__name__}_whole"] = partial(_f, steps=STEPS)
