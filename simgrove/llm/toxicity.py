@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary text and one on the toxic passages of toxic text: the words whose
-beginnings stand out in toxic documents. A window is one word, repeated REPEAT times so that a short word shows in whole bytes,
+beginnings stand out in toxic documents. A window is one word (a few characters from each place where words are not spaced or longer than LONG bytes), repeated REPEAT times so that a short word shows in whole bytes,
 compressed once with each dictionary. A calibrated table turns (word length, ordinary length, toxic length) into the
 log-likelihood ratio with which training documents of either label hold such a window. A document's score is a logistic function of
 its strongest windows, fitted on the training rows.
@@ -36,11 +36,50 @@ TOXIC_BYTES, ORDINARY_BYTES = 32768, 32768
 CACHE = 500_000
 TOP = 4
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: spaces and punctuation beyond ASCII in UTF-8: Latin-1 (soft hyphen and letters aside), U+2000 to U+206F without joiners, CJK and full-width punctuation
+BREAK = re.compile(
+    rb"\xc2[\x80-\xa9\xab\xac\xae-\xb4\xb6-\xb9\xbb-\xbf]|\xe2(?:\x80[\x80-\x8b\x8e-\xbf]|\x81[\x80-\x9f\xa1-\xaf])"
+    rb"|\xe3\x80[\x80-\x84\x88-\xbf]|\xef(?:\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xbd[\x80\x9b-\xa5])"
+)
+#: scripts without spaces between words: Thai, Lao, Myanmar, Khmer, kana and Han
+UNSPACED = re.compile(
+    rb"(?:\xe0[\xb8-\xbb][\x80-\xbf]|\xe1[\x80-\x82\x9e\x9f][\x80-\xbf]|\xe3(?:\x80[\x85-\x87]|[\x81-\x83\x90-\xbf][\x80-\xbf])|[\xe4-\xe9][\x80-\xbf]{2}"
+    rb"|\xef(?:[\xa4-\xab][\x80-\xbf]|\xbd[\xa6-\xbf]|\xbe[\x80-\x9f])|\xf0[\xa0-\xb3][\x80-\xbf]{2})+"
+)
+CHARACTER = re.compile(rb"[\x00-\x7f\xc0-\xff][\x80-\xbf]*")
+#: words of more bytes are cut; characters of a cut window, in unspaced scripts and elsewhere
+LONG, UNSPACED_N, LONG_N = 64, (2, 4), (6, 12)
 
 
 def windows(text: str | None) -> set[bytes]:
-    """The different words of a text, A-Z lower-cased."""
-    return set(WORD.findall((text or "").encode("utf-8", "replace").lower()))
+    """The different words of a text, A-Z lower-cased. Unspaced scripts and words over LONG bytes become character n-grams from every place."""
+    data = (text or "").encode("utf-8", "replace").lower()
+    plain = data.isascii()
+    out = set(WORD.findall(data if plain else BREAK.sub(b" ", data)))
+    for w in [w for w in out if len(w) > LONG or not plain and UNSPACED.search(w)]:
+        out.remove(w)
+        at = 0
+        for m in UNSPACED.finditer(w):
+            _cut(w[at : m.start()], out)
+            _grams(m.group(), UNSPACED_N, out)
+            at = m.end()
+        _cut(w[at:], out)
+    return out
+
+
+def _cut(word: bytes, out: set[bytes]) -> None:
+    if len(word) > LONG:
+        _grams(word, LONG_N, out)
+    elif word:
+        out.add(word)
+
+
+def _grams(run: bytes, sizes: tuple[int, ...], out: set[bytes]) -> None:
+    """n characters from each place to the run's end, fewer at the end: each place begins a window."""
+    edge = [m.start() for m in CHARACTER.finditer(run)] + [len(run)]
+    last = len(edge) - 1
+    for n in sizes:
+        out.update(run[edge[i] : edge[min(i + n, last)]] for i in range(last))
 
 
 def _body(word: bytes) -> bytes:
@@ -114,7 +153,7 @@ class Scorer:
         self.with_toxic, self.with_ordinary = _compressor(model.toxic), _compressor(model.ordinary)
 
     def key(self, word: bytes) -> tuple[int, int, int]:
-        x = _body(word[:64])  # a longer word's first 64 bytes tell as much; whole words still are one window each
+        x = _body(word)
         return min(len(word), 16), len(self.with_ordinary.compress(x)), len(self.with_toxic.compress(x))
 
     def ratio(self, word: bytes) -> float:
@@ -122,7 +161,7 @@ class Scorer:
         if v is None:
             if len(self.seen) >= CACHE:
                 self.seen.clear()
-            x = _body(word[:64])
+            x = _body(word)
             n, t = min(len(word), 16), len(self.with_toxic.compress(x))
             # the ordinary length is needed only where some window of the table has this toxic length
             v = self.model.table.get((n, len(self.with_ordinary.compress(x)), t), 0.0) if (n, t) in self.short else 0.0

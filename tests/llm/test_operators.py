@@ -78,6 +78,28 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r["predicted"] for r in toxicity.score_documents(d, l.limit(0)).collect()} == {0}
 
 
+def test_toxicity_of_unspaced_text(spark):
+    """A toxic word far into an unspaced sentence, or after a no-break space or a long dash, counts."""
+    rng = random.Random(9)
+    signs = [chr(c) for c in range(0x4E00, 0x4E00 + 300)]
+    rows, labels = [], []
+    for i in range(400):
+        s = [rng.choice(signs) for _ in range(120)]
+        if i % 4 == 0:
+            for k in (30, 60, 90):
+                s[k : k + 3] = rng.choice(["\u5927\u7b28\u86cb", "\u5783\u573e\u4eba"])
+        rows.append((i, "".join(s), "s"))
+        labels.append((i, 1, int(i % 4 == 0)))
+    got = toxicity.score_documents(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [(r["predicted"], int(r["doc_id"] % 4 == 0)) for r in got if r["held_out"]]
+    assert held and sum(a == b for a, b in held) >= 0.95 * len(held) and sum(b for _, b in held) > 5
+    assert toxicity.windows("so\u00a0rotten\u2014Lowlife\u3002x") == {b"so", b"rotten", b"lowlife", b"x"}
+    run = "".join(rng.choice("abcdefgh\u00e9") for _ in range(500))
+    cut = toxicity.windows(run)
+    assert all(run[k : k + 6].encode() in cut for k in range(500)) and max(map(len, cut)) <= toxicity.LONG
+    assert toxicity.windows("\u00e9t\u00e9 stra\u00dfe na\u00efve a") == {"\u00e9t\u00e9".encode(), "stra\u00dfe".encode(), "na\u00efve".encode(), b"a"}
+
+
 # ---- near duplicates
 
 def brute_components(rows):
