@@ -75,6 +75,38 @@ def validate_matrix(pairs_both: DataFrame) -> DataFrame:
     return s.select("layer", F.inline(rules))
 
 
+def validate_results(summary: DataFrame, metrics: DataFrame, cells: DataFrame, layers: list[str], n: int, config_sha256: str, manifest_sha256: str) -> DataFrame:
+    """Every finding on stored results: layer (null for the whole), rule. Layers are compared both ways; matrices must be whole (n by n, each cell once), finite and symmetric.
+
+    summary: config_sha256, sample_manifest_sha256, n_samples; metrics: layer, convergence_threshold, critical_threshold, critical_rate; cells: layer, i, j, similarity.
+    """
+    spark = summary.sparkSession
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    whole = lambda cond, rule: s.agg(F.count(F.when(cond, 1)).alias("ok"), F.count(F.lit(1)).alias("k")).filter((F.col("ok") != 1) | (F.col("k") != 1)).select(F.lit(None).cast("string").alias("layer"), F.lit(rule).alias("rule"))
+    by_layer = lambda df, rule: df.select("layer", F.lit(rule).alias("rule"))
+    s, m = summary, metrics.withColumn("layer", F.col("layer").cast("string"))
+    expected = spark.createDataFrame([(x,) for x in layers], "layer string")
+    once = cells.groupBy("layer", "i", "j").agg(F.count(F.lit(1)).alias("times"), F.max("similarity").alias("similarity"), F.count(F.when(~finite("similarity"), 1)).alias("bad"))
+    other = once.select("layer", F.col("j").alias("i"), F.col("i").alias("j"), F.col("similarity").alias("other"))
+    close = (F.col("similarity") == F.col("other")) & ~F.isnan("similarity") | (F.abs(F.col("similarity") - F.col("other")) <= 1e-5 + 1e-5 * F.abs("other")) & (F.abs("other") != float("inf"))
+    c = once.join(other, ["layer", "i", "j"], "left").groupBy("layer").agg(
+        F.countDistinct("i").alias("rows"), F.countDistinct("j").alias("cols"), F.count(F.lit(1)).alias("cells"), F.max("times").alias("times"),
+        F.sum("bad").alias("bad"), F.count(F.when(~F.coalesce(close, F.lit(False)) | F.isnan("other"), 1)).alias("uneven"),
+    )
+    parts = [
+        whole(F.col("config_sha256") == config_sha256, "config hash"), whole(F.col("sample_manifest_sha256") == manifest_sha256, "manifest hash"), whole(F.col("n_samples") == n, "sample count"),
+        by_layer(expected.join(m, "layer", "left_anti"), "missing layer"), by_layer(m.join(expected, "layer", "left_anti"), "unexpected layer"), by_layer(duplicate_keys(m, "layer"), "repeated layer"),
+        *[by_layer(m.filter(~finite(k)), f"invalid {k}") for k in ("convergence_threshold", "critical_threshold", "critical_rate")],
+        by_layer(expected.unionByName(m.select("layer")).distinct().join(c, "layer", "left_anti"), "missing matrix"),
+        by_layer(c.filter((F.col("rows") != n) | (F.col("cols") != n) | (F.col("cells") != n * n) | (F.col("times") != 1)), "shape"),
+        by_layer(c.filter("bad > 0"), "not finite"), by_layer(c.filter("uneven > 0"), "not symmetric"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def validate_sample(manifest: DataFrame, files: DataFrame, strata: DataFrame, target: int, allowed: list[str], least_width: int, least_height: int) -> DataFrame:
     """Every finding on a manifest: rule, subject. files: filename, sha256, width, height; strata: family."""
     m = manifest.join(files.select("filename", F.col("sha256").alias("f_sha"), F.col("width").alias("f_w"), F.col("height").alias("f_h")), "filename", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import tempfile
 
@@ -9,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simgrove.functions import extract, text
-from simgrove.operators import curation, telemetry
-from simgrove.sources import files
+from simgrove.operators import curation, curve, forest, sift, similarity, telemetry
+from simgrove.sources import features, files
 from simgrove.streaming import telemetry as stream
 
 Q: dict = {}
@@ -256,6 +258,31 @@ def validate_results(spark, sf):
     return n.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("n_name").isNull(), 1)).alias("n_null")).crossJoin(bad).select(F.lit("nation").alias("name"), "n_rows", "n_null", "n_unmatched")  # one row each
 
 
+@query()
+def validate_layer_results(spark, sf):
+    """Findings on the stored results of the embeddings' layers: none if all is well."""
+    f = features.layered(spark, sf).cache()
+    msf = forest.max_spanning_forest(f).cache()
+    conv = sift.find_convergence(msf, f)
+    c = sift.component_curve(msf, f, sift.grids(conv, 1000))
+    x = curve.critical_threshold(curve.smooth_curve(c, curve.fit_sigmoid(c))).select("layer", "critical_threshold", "critical_rate")
+    p = similarity.pair_similarity(f).select("layer", "i", "j", "similarity")
+    d = f.select("layer", F.col("sample_id").alias("i"), F.col("sample_id").alias("j"), F.lit(1.0).alias("similarity"))
+    layers = [f"layer_{k}" for k in range(1, 5)]
+    config = hashlib.sha256(json.dumps({"layers": layers, "steps": 1000}).encode()).hexdigest()
+
+    def manifest():
+        ids = t(spark, sf, "embeddings").select(F.col("vec_id").cast("long").alias("i"))
+        return ids.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("i")), ","), 256).alias("sha"), F.count(F.lit(1)).alias("n"))  # ids only
+
+    at = folder(spark, "results")
+    conv.withColumnRenamed("convergence", "convergence_threshold").join(x, "layer", "left").write.parquet(f"{at}/metrics")
+    p.unionByName(p.select("layer", F.col("j").alias("i"), F.col("i").alias("j"), "similarity")).unionByName(d).write.parquet(f"{at}/cells")
+    manifest().select(F.lit(config).alias("config_sha256"), F.col("sha").alias("sample_manifest_sha256"), F.col("n").alias("n_samples")).write.parquet(f"{at}/summary")
+    want = manifest().first()
+    return curation.validate_results(*(spark.read.parquet(f"{at}/{k}") for k in ("summary", "metrics", "cells")), layers, want["n"], config, want["sha"])
+
+
 # ---- text functions ------------------------------------------------------------------------------------------------
 
 LICENCES = ["CC0", "http://creativecommons.org/publicdomain/zero/1.0/legalcode", "CC BY 4.0", "https://creativecommons.org/licenses/by/4.0/", "CC BY-NC 4.0", "http://creativecommons.org/licenses/by-sa/4.0/", "all rights reserved", None, "  "]

@@ -81,3 +81,26 @@ def test_queries_equal_sql(spark, sf, name):
     cols = rel.columns
     d = entry.queries()[name](spark, sf).select(*cols)
     assert sorted(map(repr, (tuple(r) for r in d.collect()))) == sorted(map(repr, rel.fetchall()))
+
+
+def test_validate_results_finds_planted_faults(spark):
+    cells = {(x, i, j): 1.0 if i == j else 0.5 for x in "ab" for i in range(3) for j in range(3)}
+
+    def found(cells, metrics=(("a", 0.3, 0.5, 2.0), ("b", 0.3, 0.5, 2.0)), summary=("c", "m", 3), more=()):
+        s = spark.createDataFrame([summary], "config_sha256 string, sample_manifest_sha256 string, n_samples long")
+        m = spark.createDataFrame(list(metrics), "layer string, convergence_threshold double, critical_threshold double, critical_rate double")
+        c = spark.createDataFrame([(*k, v) for k, v in cells.items()] + list(more), "layer string, i long, j long, similarity double")
+        return {tuple(r) for r in curation.validate_results(s, m, c, ["a", "b"], 3, "c", "m").collect()}
+
+    nan = float("nan")
+    assert found(cells) == set()
+    assert found(cells, summary=("x", None, 4)) == {(None, "config hash"), (None, "manifest hash"), (None, "sample count")}
+    assert found(cells | {("b", 0, 1): nan, ("b", 1, 0): nan, ("a", 0, 2): 0.6}) == {("b", "not finite"), ("b", "not symmetric"), ("a", "not symmetric")}
+    assert found({k: v for k, v in cells.items() if k != ("a", 2, 2)}, more=[("b", 0, 0, 1.0)]) == {("a", "shape"), ("b", "shape")}
+    assert found({k: v for k, v in cells.items() if k[0] == "a"}, metrics=[("a", nan, None, float("inf")), ("z", 0.3, 0.5, 2.0)]) == {
+        ("b", "missing layer"), ("z", "unexpected layer"), ("b", "missing matrix"), ("z", "missing matrix"), ("a", "invalid convergence_threshold"), ("a", "invalid critical_threshold"), ("a", "invalid critical_rate"),
+    }
+
+
+def test_stored_layer_results_are_valid(spark, sf):
+    assert entry.queries()["validate_layer_results"](spark, sf).collect() == []
