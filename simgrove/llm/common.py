@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = getattr(spark, "_simgrove_shared", None)
         if base is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="simgrove-")
             spark._simgrove_shared = base
             spark.sparkContext.setCheckpointDir(base)
@@ -170,31 +172,29 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The input again in pieces of about `most` text bytes (one row at least), whatever Arrow's batch size is."""
-    held, size = [], 0
+def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 8 << 20, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """The input again in pieces of at most `rows` rows and `most` text bytes (one row at least), whatever Arrow's batch size is. All pieces have one schema."""
+    held, size, n = [], 0, 0
     for b in batches:
-        lengths = pa.compute.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
-        total, at = np.cumsum(lengths), 0
+        ends = np.cumsum(pa.compute.binary_length(b.column(text)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
         while at < b.num_rows:
-            base = total[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(total, base + most - size, side="right")))
-            held.append(b.slice(at, upto - at))
-            size += int(total[upto - 1] - base)
-            at = upto
-            if size >= most:
+            base = int(ends[at - 1]) if at else 0
+            fits = min(int(np.searchsorted(ends, base + most - size, side="right")) - at, rows - n)
+            if fits <= 0 and held:
                 yield join_batches(held)
-                held, size = [], 0
-            elif at < b.num_rows:
-                yield join_batches(held)
-                held, size = [], 0
+                held, size, n = [], 0, 0
+                continue
+            fits = max(1, fits)
+            held.append(b.slice(at, fits))
+            at, size, n = at + fits, size + int(ends[at + fits - 1]) - base, n + fits
     if held:
         yield join_batches(held)
 
 
 def join_batches(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    if len(held) == 1:
-        return held[0]
+    """One batch of them all, with plain string and binary columns whatever the number of batches: a task's output must have one schema."""
+    plain = {pa.large_string(): pa.string(), pa.large_binary(): pa.binary()}
     t = pa.Table.from_batches(held)
-    t = t.cast(pa.schema([(f.name, pa.large_string() if pa.types.is_string(f.type) else f.type) for f in t.schema])).combine_chunks()
-    return t.to_batches()[0]
+    t = t.cast(pa.schema([(f.name, plain.get(f.type, f.type)) for f in t.schema])).combine_chunks()
+    return t.to_batches()[0] if t.num_rows else held[0]
