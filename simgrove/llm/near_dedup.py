@@ -1,21 +1,23 @@
 """Near-duplicate detection: banded MinHash with odd sketches.
 
 Texts become sets of five-word shingles. SAMPLES MinHash values fill BANDS bands and are folded into a parity bitmap (odd sketch). The
-population count of two bitmaps' XOR estimates how many samples differ, and so a high similarity, before any text is read again.
-Pairs that pass are confirmed on the full shingle sets.
+population count of two bitmaps' XOR estimates how many samples differ, and so a high similarity, before any set is read.
+Links are confirmed on the full sets, each shingle a 64-bit number.
 
-Rows with equal sets are one class from the start. In each band bucket every member is compared with one pivot; then, in buckets
-that still hold several components, with other pivots for ROUNDS rounds. What is still apart is compared inside its bucket, block by block,
-where a pair becomes a row only if its components differ, its bitmaps are close and this is its first common band. So large groups of
-copies need no pairs of their own, and no bucket is cut short.
-At similarity 0.75 a pair misses all bands with probability 5e-6, and the bitmap test (0.5) with less.
+Rows with equal sets (SHA-256 over the sorted set) are one class from the start. In each band bucket every class is compared with one pivot, for ROUNDS
+rounds. In buckets that still hold several components, classes outside the largest component meet all others, in pairs of blocks of bounded size: bitmaps
+tell which classes can have a link there at all, and only their sets travel. A task compares whole sets, skips what is joined already
+and returns a forest: fewer links than it has classes, however many pairs are similar. No bucket is cut short.
+At similarity 0.75 a pair misses all bands with probability 5e-6, and the bitmap test (0.5) with about 1e-5.
 
 Defined results: a null, empty or blank text has an empty set, is linked with nothing and kept; fewer than five words make one shingle; rows with
-the same id are one document (their links are joined); a null id is not linked: component null, kept true; an empty table gives an empty result; other columns are not read.
+the same id are one document (their links are joined); a row without id is linked like any other, its component_id is the smallest id reached (null
+if there is none, and then kept is true); a very long text is one row of a task, its set 8 bytes a shingle; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,16 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import broadcast_if_small, chunks, mix64, stored, utf8, word_hashes, words_of
+from simgrove.llm.common import broadcast_if_small, chunks, discard, mix64, stored, utf8, word_hashes, words_of
 from simgrove.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
 LOW = 0.5
-BLOCK, ROUNDS = 1024, 4
-#: ids of 8 bytes: up to so many are broadcast
-BROADCAST_IDS = 2_000_000
+ROUNDS = 2
+#: classes, and shingles, of a block: a task holds two blocks
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
+#: ids and keys of 16 bytes: up to so many are broadcast
+BROADCAST_IDS = 1_000_000
 
 _R = np.random.default_rng(977)
 _WORD = _R.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,22 +108,44 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(values.astype(np.uint64).view(np.int64).ravel()))
 
 
+def _digests(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The first 16 bytes of SHA-256 over each sorted set."""
+    raw, at = np.ascontiguousarray(hashes).tobytes(), (bounds * 8).tolist()
+    return [hashlib.sha256(raw[i:j]).digest()[:16] for i, j in zip(at, at[1:])]
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+
+
 def sketch(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n (set size), digest (of the set), bands, odd."""
+    """doc_id, text_key, n (set size), digest (of the set), bands, odd."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in chunks(batches, "text", 4 << 20):
+        for b in chunks(batches, "text", 2 << 20, 1 << 13):
             hashes, bounds = shingle_hashes(*utf8(b.column("text")))
             mins = min_hashes(hashes, bounds)
-            n = np.diff(bounds)
-            with np.errstate(over="ignore"):
-                c1, c2 = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (hashes, mix64(hashes + np.uint64(11))))
-                parts = np.stack([mix64(c[bounds[1:]] - c[bounds[:-1]] + n.astype(np.uint64)) for c in (c1, c2)], axis=1)
-            digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(n), [None, pa.py_buffer(np.ascontiguousarray(parts))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n.astype(np.int64)), digest, _lists(band_keys(mins)), _lists(odd_sketches(mins))], names=["doc_id", "n", "digest", "bands", "odd"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("text_key"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(_digests(hashes, bounds), pa.binary()), _lists(band_keys(mins)), _lists(odd_sketches(mins))],
+                names=["doc_id", "text_key", "n", "digest", "bands", "odd"],
+            )
+
+    return _rows(docs, doc_id, text).mapInArrow(run, "doc_id long, text_key long, n long, digest binary, bands array<long>, odd array<long>")
+
+
+def shingle_sets(docs: DataFrame, picks: DataFrame, n_picks: int, doc_id: str, text: str) -> DataFrame:
+    """digest, shingles (a sorted set of 64-bit numbers) of the rows in picks (doc_id, text_key)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in chunks(batches, "text", 2 << 20, 1 << 13):
+            hashes, bounds = shingle_hashes(*utf8(b.column("text")))
+            raw, at = np.ascontiguousarray(hashes).tobytes(), (bounds * 8).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(_digests(hashes, bounds), pa.binary()), pa.array([raw[i:j] for i, j in zip(at, at[1:])], pa.binary())], names=["digest", "shingles"])
 
-    inner = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return inner.mapInArrow(run, "doc_id long, n long, digest binary, bands array<long>, odd array<long>")
+    p = picks.select(F.col("doc_id").alias("pick_id"), F.col("text_key").alias("pick_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("pick_id")) & (F.col("text_key") == F.col("pick_key"))
+    got = _rows(docs, doc_id, text).join(broadcast_if_small(p, n_picks, BROADCAST_IDS), same, "left_semi")
+    return got.select("text").mapInArrow(run, "digest binary, shingles binary").dropDuplicates(["digest"])
 
 
 def likely(odd_a: Column, odd_b: Column, n_a: Column, n_b: Column) -> Column:
@@ -134,128 +160,186 @@ def far_bits(low: float = LOW) -> int:
     return int(np.ceil(BITS * (1 - np.exp(-2 * differ / BITS)) / 2))
 
 
-def shingle_set(text: str | None) -> set:
-    w = (text or "").encode("utf-8", "replace").lower().split()
-    if not w:
-        return set()
-    return set(zip(*(w[j:] for j in range(SHINGLE)))) if len(w) >= SHINGLE else {tuple(w)}
+def similar(common: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    return (common > 0) & (100 * common >= PERCENT * (n_a + n_b - common))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, n_ids: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar; docs: doc_id, text."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.join(broadcast_if_small(ids, n_ids, BROADCAST_IDS), "doc_id", "left_semi"), "candidate_texts")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of pairs (a, b, da, db), the (a, b) whose full sets, named by their digests, are similar."""
+    of = lambda side: sets.select(F.col("digest").alias(f"d{side}"), F.col("shingles").alias(f"s{side}"))
+    joined = pairs.join(of("a"), "da").join(of("b"), "db").select("a", "b", "sa", "sb")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ca, cb, ok, last = b.column("ta"), b.column("tb"), [], (None, set())
+            sa, sb, ok = b.column("sa"), b.column("sb"), np.zeros(b.num_rows, bool)
             for i in range(b.num_rows):
-                t = ca[i].as_py()
-                if t != last[0] or i == 0:
-                    last = (t, shingle_set(t))
-                x, y = last[1], shingle_set(cb[i].as_py())
-                both = len(x & y)
-                ok.append(bool(both) and 100 * both >= PERCENT * (len(x) + len(y) - both))
-            keep = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(keep)
+                x, y = np.frombuffer(sa[i].as_buffer(), np.uint64), np.frombuffer(sb[i].as_buffer(), np.uint64)
+                ok[i] = similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
 
-    return joined.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return joined.mapInArrow(run, "a long, b long")
 
 
-def _close_pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each block pair: pairs of different components and close bitmaps, by vectorised XOR counts."""
+CELL = ["bucket", "wide", "i", "j"]
+
+
+def _open(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pair of blocks, the classes with a partner in another component that sizes and bitmaps leave possible and that meets them here first."""
     limit = far_bits()
     for batch in batches:
-        a_out, b_out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for r in range(batch.num_rows):
             m = batch.column("m")[r].values
-            node, comp, n = (m.field(c).to_numpy() for c in ("rep", "component", "n"))
-            side = m.field("block").to_numpy()
-            odd = m.field("odd").flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
-            bi, bj = batch.column("bi")[r].as_py(), batch.column("bj")[r].as_py()
-            bands = m.field("bands").flatten().to_numpy().reshape(len(node), -1)
-            here = batch.column("bucket")[r].as_py()
-            left, right = np.flatnonzero(side == bi), np.flatnonzero(side == bj)
-            for i in left:
-                j = right if bi != bj else right[right > i]
-                j = j[(comp[j] != comp[i]) & (np.minimum(n[j], n[i]) * 100 >= np.maximum(n[j], n[i]) * PERCENT)]
-                if len(j):
-                    j = j[np.bitwise_count(odd[j] ^ odd[i]).sum(axis=1, dtype=np.int64) <= limit]
-                    j = j[bands[i][np.argmax(bands[j] == bands[i], axis=1)] == here]
-                    a_out.append(np.minimum(node[j], node[i]))
-                    b_out.append(np.maximum(node[j], node[i]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
+            component, n, left = (m.field(c).to_numpy(zero_copy_only=False) for c in ("component", "n", "left"))
+            odd = m.field("odd").flatten().to_numpy().view(np.uint64).reshape(len(n), -1)
+            bands = m.field("bands").flatten().to_numpy().reshape(len(n), -1)
+            here, inner = batch.column("bucket")[r].as_py(), not batch.column("wide")[r].as_py() and batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
+            right = np.flatnonzero(~left) if not inner else np.arange(len(n))
+            stays = np.zeros(len(n), bool)
+            for k in np.flatnonzero(left):
+                at = right[(component[right] != component[k]) & (np.minimum(n[right], n[k]) * 100 >= np.maximum(n[right], n[k]) * PERCENT)]
+                at = at[np.bitwise_count(odd[at] ^ odd[k]).sum(axis=1, dtype=np.int64) <= limit] if len(at) else at
+                at = at[bands[k][np.argmax(bands[at] == bands[k], axis=1)] == here] if len(at) else at
+                if len(at):
+                    stays[at] = True
+                    stays[k] = True
+            at = np.flatnonzero(stays)
+            if len(at):
+                same = {c: pa.array([batch.column(c)[r].as_py()] * len(at), batch.column(c).type) for c in CELL}
+                kept = m.take(pa.array(at))
+                yield pa.RecordBatch.from_pydict(same | {c: kept.field(c) for c in ("left", "node", "component", "digest")})
+
+
+def _forest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact links within each pair of blocks, as a forest: classes of one component, or joined by earlier links of the task, are not compared."""
+    for batch in batches:
+        a_out, b_out = [], []
+        for r in range(batch.num_rows):
+            m = batch.column("m")[r].values
+            node, component, left = (m.field(c).to_numpy(zero_copy_only=False).copy() for c in ("node", "component", "left"))
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.field("shingles")]
+            n = np.array([len(x) for x in sets], np.int64)
+            names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            first = np.concatenate([[0], np.cumsum(n)[:-1]])
+            inner = not batch.column("wide")[r].as_py() and batch.column("i")[r].as_py() == batch.column("j")[r].as_py()
+            right = ~left if not inner else np.ones(len(n), bool)
+            mark = np.zeros(len(names), bool)
+            for k in np.flatnonzero(left):
+                if not (right & (component != component[k])).any():
+                    continue
+                own = flat[first[k] : first[k] + n[k]]
+                mark[own] = True
+                common = np.add.reduceat(mark[flat].astype(np.int32), first)
+                mark[own] = False
+                for x in np.flatnonzero(similar(common, n[k], n) & right):
+                    if component[x] != component[k]:
+                        a_out.append(min(node[k], node[x]))
+                        b_out.append(max(node[k], node[x]))
+                        component[component == component[x]] = component[k]
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+
+def _grown(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after links (a, b) between nodes."""
+    by_a = links.join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a")
+    between = by_a.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    return stored(labels.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
+
+
+def _cells(c: DataFrame) -> DataFrame:
+    """Members (bucket, node, digest, n, component, ...) of buckets with several components, once for each pair of blocks: CELL and left.
+
+    The largest component's classes meet the others only, so a large group with a few strangers costs its size, not its square.
+    """
+    parts = c.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("s"))
+    size = parts.groupBy("bucket").agg(F.max(F.struct("k", "component", "s")).alias("top"), F.sum("k").alias("k"), F.sum("s").alias("s")).filter("k > top.k")
+    blocks = lambda k, s: F.greatest(F.ceil(k / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    size = size.select("bucket", F.col("top.component").alias("major"), blocks(F.col("k") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("few"), blocks(F.col("top.k"), F.col("top.s")).alias("many"))
+    m = c.join(size, "bucket").withColumn("minor", F.col("component") != F.col("major"))
+    m = m.withColumn("own", F.pmod(F.xxhash64("digest"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many"))).cast("int"))
+    cell = lambda wide, i, j, left: F.struct(F.lit(wide).alias("wide"), i.alias("i"), j.alias("j"), left.alias("left"))
+    to = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.col("own")
+    minor = F.concat(F.transform(to(F.col("few")), lambda o: cell(False, F.least(o, own), F.greatest(o, own), own <= o)), F.transform(to(F.col("many")), lambda o: cell(True, own, o, F.lit(True))))
+    major = F.transform(to(F.col("few")), lambda o: cell(True, o, own, F.lit(False)))
+    return m.withColumn("cell", F.explode(F.when(F.col("minor"), minor).otherwise(major))).select("*", "cell.*").drop("cell", "major", "few", "many", "minor", "own")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, n_links (confirmed links of the row's class to other classes)."""
+    """doc_id, n_shingles, component_id, kept, text_key (xxhash64 of the text), component (a number for each component, null ids too; null for empty sets)."""
     s = stored(sketch(docs, doc_id, text), "sketches")
-    known = s.filter("n > 0 and doc_id is not null")
-    classes = stored(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    first = known.select("doc_id", "digest", "n", "bands", "odd").join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
-    reps = stored(first.select("rep", "digest", "n", "bands", "odd").dropDuplicates(["digest"]), "representatives")
-    rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = rows.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    members = stored(rows.join(buckets, "bucket"), "members")
-    light = reps.select("rep", "n", "odd")
-    a = light.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
-    b = light.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found: list[DataFrame] = []
-
-    def grown(labels: DataFrame, pairs: DataFrame) -> DataFrame | None:
-        """Labels after the links among pairs; None without new links."""
-        pairs = stored(pairs, "pairs")
-        n = pairs.count()
-        if not n:
-            return None
-        links = stored(confirm(pairs, plain, 2 * n).distinct(), "links")
-        found.append(links)
-        by_a = links.join(labels.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a")
-        between = by_a.join(labels.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        joined = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
-        new = labels.join(joined, "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
-        return stored(new, "labels")
-
-    def mixed_buckets(labels: DataFrame) -> DataFrame:
-        c = members.join(labels, "rep")
-        apart = c.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
-        return c.join(apart, "bucket")
-
-    labels = stored(members.select("rep").distinct().withColumn("component", F.col("rep")), "labels")
-    apart = True
+    known = s.filter("n > 0")
+    any_of = [F.any_value(c).alias(c) for c in ("n", "bands", "odd")]
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_key")).alias("pick"), *any_of)
+    # a class of rows without ids takes a number from its set
+    classes = stored(classes.withColumn("node", F.coalesce("rep", F.lit(1 << 62) + F.pmod(F.xxhash64("digest"), F.lit(1 << 62)))), "classes")
+    rows = classes.select("node", F.explode("bands").alias("bucket"))
+    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("bucket")
+    light = rows.join(shared, "bucket").join(classes.select("node", "digest", "n", "odd"), "node")
+    members = stored(light.select("bucket", "node", "digest", "n", "odd"), "members")
+    held = stored(members.select("digest").distinct(), "held")
+    picks = stored(classes.join(held, "digest", "left_semi").select("pick.*"), "picks")
+    sets = stored(shingle_sets(docs, picks, picks.count(), doc_id, text), "sets")
+    scratch = [held, picks]
+    several = known.filter("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("d0"), F.max("digest").alias("d1")).filter("d0 <> d1").select("doc_id")
+    several = stored(several, "several")
+    n_several = several.count()
+    labels = stored(members.select("node").distinct().withColumn("component", F.col("node")), "labels")
+    if n_several:  # ids with several sets: their classes are one document
+        by_id = known.join(broadcast_if_small(several, n_several, BROADCAST_IDS), "doc_id").join(classes.select("digest", "node"), "digest").select("doc_id", "node").distinct()
+        by_id = stored(by_id, "by_id")
+        labels = stored(labels.select("node").union(by_id.select("node")).distinct().withColumn("component", F.col("node")), "labels")
+        labels = _grown(labels, by_id.join(by_id.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")))
     for turn in range(ROUNDS):
-        c = stored(mixed_buckets(labels), "mixed")
-        apart = not c.isEmpty()
-        if not apart:
-            break
-        pivots = c.groupBy("bucket").agg(F.min_by(F.struct("rep", "component"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("p"))
-        tried = c.join(pivots, "bucket").filter("component <> p.component").select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct()
-        tried = tried.join(a, "a").join(b, "b").filter(likely(F.col("oa"), F.col("ob"), F.col("na"), F.col("nb"))).select("a", "b")
-        new = grown(labels, tried)
-        labels = labels if new is None else new
-    # what is still apart: every pair that can be a link, within its first common bucket
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    m = mixed_buckets(labels).join(reps.select("rep", "n", "odd", "bands"), "rep").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    m = m.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"bi": F.least("block", "o"), "bj": F.greatest("block", "o")})
-    m = m.groupBy("bucket", "bi", "bj").agg(F.collect_list(F.struct("rep", "component", "n", "block", "odd", "bands")).alias("m"))
-    new = grown(labels, m.select("bucket", "bi", "bj", "m").mapInArrow(_close_pairs, "a long, b long").distinct()) if apart else None
-    labels = (labels if new is None else new).withColumnRenamed("rep", "node")
-    links = members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-    for part in found:
-        links = links.union(part)
-    links = links.distinct()
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    final = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(degree, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"), "n_links")
-    out = s.select("doc_id", "n", "digest").join(final.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+        c = members.join(labels, "node")
+        apart = c.groupBy("bucket").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("bucket")
+        c = stored(c.join(apart, "bucket"), "mixed")
+        pivots = c.groupBy("bucket").agg(F.min_by(F.struct("node", "component", "digest", "n", "odd"), F.struct(F.xxhash64("digest", F.lit(turn)), "digest")).alias("p"))
+        tried = c.join(pivots, "bucket").filter("component <> p.component").filter(likely(F.col("odd"), F.col("p.odd"), F.col("n"), F.col("p.n")))
+        tried = stored(tried.select(F.col("node").alias("a"), F.col("p.node").alias("b"), F.col("digest").alias("da"), F.col("p.digest").alias("db")).distinct(), "tried")
+        links = stored(confirm(tried, sets), "links")
+        before, labels = labels, _grown(labels, links)
+        for x in (c, tried, links, before):
+            discard(x)
+    c = stored(members.join(labels, "node"), "labelled")
+    cells = _cells(c).join(classes.select("digest", "bands"), "digest")
+    grouped = cells.groupBy(*CELL).agg(F.collect_list(F.struct("left", "node", "component", "digest", "n", "odd", "bands")).alias("m"))
+    opened = stored(grouped.mapInArrow(_open, "bucket long, wide boolean, i int, j int, left boolean, node long, component long, digest binary"), "open")
+    grouped = opened.join(sets, "digest").groupBy(*CELL).agg(F.collect_list(F.struct("left", "node", "component", "shingles")).alias("m"))
+    links = stored(grouped.select("wide", "i", "j", "m").mapInArrow(_forest, "a long, b long").distinct(), "links")
+    labels = _grown(labels, links)
+    # a component is named by its smallest real id
+    grown = classes.select("digest", "node", "rep").join(labels, "node", "left")
+    names = grown.filter("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("name"))
+    final = grown.join(names, F.col("component") == F.col("c"), "left")
+    final = stored(final.select(F.col("digest").alias("d"), F.coalesce("component", "node").alias("component"), F.when(F.col("c").isNull(), F.col("rep")).otherwise(F.col("name")).alias("name")), "named")
+    out = s.join(final, F.col("digest") == F.col("d"), "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"), "text_key", "component")
+    out = stored(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "n_shingles", "component_id", "kept", "text_key", "component"), "near_duplicates")
+    for x in (s, classes, members, sets, c, opened, links, labels, final, several, *scratch):
+        discard(x)
+    return out
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that stay, all columns kept: the smallest id of each component."""
-    gone = stored(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "removed")
-    return docs.join(broadcast_if_small(gone, gone.count(), BROADCAST_IDS), "doc_id", "left_anti").select(*docs.columns)
+    """The documents that stay, all columns kept: of each component the row with the smallest id (rows without id last), of equal rows one; and all with empty sets."""
+    n = near_duplicates(docs)
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    best = stored(n.filter("component is not null").groupBy("component").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("rows")), "best")
+    same = [F.col("doc_id").eqNullSafe(F.col("best.doc_id")), F.col("text_key") == F.col("best.text_key")]
+    again = n.join(best.withColumnRenamed("component", "c").filter("rows > 1"), F.col("component") == F.col("c")).withColumn("wins", same[0] & same[1])
+    again = stored(again.groupBy(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key")).agg(F.max("wins").alias("near_wins"), F.count(F.lit(1)).alias("near_rows")), "shared")
+    there = "near_key_" + "x" * max(map(len, docs.columns), default=0)  # a name that no column has
+    d = docs.withColumn(there, F.xxhash64("text"))
+    match = d["doc_id"].eqNullSafe(F.col("near_id")) & (d[there] == F.col("near_key"))
+    gone, twice = again.filter("not near_wins"), again.filter("near_wins and near_rows > 1")
+    stays = d.join(broadcast_if_small(gone, gone.count(), BROADCAST_IDS), match, "left_anti")
+    n_twice = twice.count()
+    if not n_twice:
+        return stays.select(*docs.columns)
+    single = stays.join(broadcast_if_small(twice, n_twice, BROADCAST_IDS), match, "left_anti")
+    one = stays.join(broadcast_if_small(twice, n_twice, BROADCAST_IDS), match, "left_semi").dropDuplicates(["doc_id", there])
+    return single.unionByName(one).select(*docs.columns)
 
 
 ORACLE = r"""

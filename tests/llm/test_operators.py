@@ -102,8 +102,13 @@ def test_toxicity_of_unspaced_text(spark):
 
 # ---- near duplicates
 
+def shingle_set(text):
+    w = (text or "").encode().lower().split()
+    return set(zip(*(w[j:] for j in range(5)))) if len(w) >= 5 else {tuple(w)} if w else set()
+
+
 def brute_components(rows):
-    sets = {i: near_dedup.shingle_set(t) for i, t, _ in rows}
+    sets = {i: shingle_set(t) for i, t, _ in rows}
     up = {i: i for i in sets}
 
     def find(x):
@@ -138,12 +143,37 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
 
 
 def test_near_duplicates_edges(spark, docs):
-    d = frame(spark, [(None, "a b c d e f", "s"), (3, "a b c d e f", "s"), (3, "a b c d e f", "s"), (9, "a b c d e f", "s")])
+    d = frame(spark, [(None, "a b c d e f", "s"), (3, "a b c d e f", "s"), (3, "a b c d e f", "s"), (9, "a b c d e f", "s"), (None, "u v w x y z", "s"), (None, "u v w x y z", "t"), (None, None, "s"), (5, " ", "s"), (6, "", "s")])
     got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in near_dedup.near_duplicates(d).collect())
-    assert got == [("3", "3", True), ("3", "3", True), ("9", "3", False), ("None", "None", True)]
+    assert got == [("3", "3", True), ("3", "3", True), ("5", "5", True), ("6", "6", True), ("9", "3", False), *[("None", "3", False), *[("None", "None", True)] * 3]]
     kept = near_dedup.deduplicated(d)
-    assert kept.columns == d.columns and kept.count() == 3
+    assert kept.columns == d.columns and sorted((str(r["doc_id"]), r["text"] or "") for r in kept.collect()) == [("3", "a b c d e f"), ("5", " "), ("6", ""), ("None", ""), ("None", "u v w x y z")]
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
+    assert near_dedup.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_an_id_with_several_texts_joins_their_groups(spark):
+    rng = random.Random(2)
+    one, two = (" ".join(rng.choices(WORDS, k=40)) for _ in range(2))
+    got = by_id(near_dedup.near_duplicates(frame(spark, [(1, one, "s"), (5, one, "s"), (5, two, "s"), (9, two, "s")])))
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 5: 1, 9: 1}
+
+
+def test_a_large_group_of_near_copies_makes_few_links(spark, monkeypatch):
+    """Many similar pairs, few of them similar enough with the pivots: the links stay below the number of classes in each pair of blocks."""
+    rng = random.Random(6)
+    base, rows = [f"{rng.choice(WORDS)}{k}" for k in range(60)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w), "s"))
+    made = []
+    real = near_dedup._grown
+    monkeypatch.setattr(near_dedup, "_grown", lambda labels, links: (made.append(links.count()), real(labels, links))[1])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert made[-1] < 150
 
 
 def test_odd_sketch_tells_similar_sets():
