@@ -56,4 +56,4 @@ def op10_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_odd_sketch, op3_suffix_dedup, op4_katz, op5_virtual_slots, op6_hilbert_ann, op7_elias_fano, op8_warc_merge, op9_entropy_mix, op10_phrase_index)
 }
-ORACLE_SQL: dict[str, str] = {"op2_odd_sketch": near_dedup.ORACLE, "op8_warc_merge": warc_merge.ORACLE, "op10_phrase_index": phrase_index.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_odd_sketch": near_dedup.ORACLE, "op6_hilbert_ann": hilbert_ann.ORACLE, "op8_warc_merge": warc_merge.ORACLE, "op10_phrase_index": phrase_index.ORACLE}

@@ -370,15 +370,32 @@ def test_neighbours_with_copies(spark):
 
 
 def test_recall_over_many_ranges(spark, monkeypatch):
-    monkeypatch.setattr(hilbert_ann, "BLOCK", 100)
+    """Clustered vectors: bounded windows on all curves, a part of the rows compared, recall against brute force."""
     rng = np.random.default_rng(2)
-    v = (rng.normal(size=(40, 24))[rng.integers(0, 40, 3000)] + 0.2 * rng.normal(size=(3000, 24))).astype(np.float32)
+    v = (rng.normal(size=(40, 24))[rng.integers(0, 40, 6000)] + 0.05 * rng.normal(size=(6000, 24))).astype(np.float32)
     v /= np.linalg.norm(v, axis=1, keepdims=True)
-    want = brute_neighbours(v.astype(float), np.arange(3000), 20, 20)
+    monkeypatch.setattr(hilbert_ann, "SPAN", 40)
+    told = []
+    real = hilbert_ann.dealt
+    monkeypatch.setattr(hilbert_ann, "dealt", lambda *a: (x := real(*a), told.append(x[1]))[0])
+    want = brute_neighbours(v.astype(float), np.arange(6000), 20, 20)
     got = defaultdict(set)
     for r in hilbert_ann.search(vectors(spark, v)).collect():
         got[r["query_id"]].add(r["vec_id"])
     assert sum(len(got[q] & set(n)) for q, n in want.items()) / sum(map(len, want.values())) >= 0.9
+    assert told[0]["curves"] == hilbert_ann.CURVES and told[0]["blocks"] == 94 and told[0]["compared"] < 6000
+
+
+def test_lengths_are_searched_apart(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8 if i % 3 else 5).tolist()) for i in range(200)]
+    got = defaultdict(list)
+    for r in hilbert_ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in range(0, 200, 20):
+        one = dict(rows)[q]
+        all_ = sorted((-sum(x * y for x, y in zip(one, e)), i) for i, e in rows if i != q and len(e) == len(one))
+        assert [i for i, _ in got[q]] == [i for _, i in all_[:20]]
 
 
 def test_hilbert_order_is_a_walk():
