@@ -32,8 +32,8 @@ from simgrove.llm.packed import Batch, batched, order_of, pack, release, unpack
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
-#: text bytes of a batch, and buckets for each shuffle partition: a task's arrays take about 100 times a batch's or 150 times a bucket's text
-BATCH, SPREAD = 2 << 20, 4
+#: text bytes of a batch; text bytes for each bucket (all texts counted); windows, or text bytes, that a task works on at once: its arrays take about 150 times as many bytes
+BATCH, BUCKET, PIECE = 2 << 20, 16 << 20, 1 << 18
 #: a minimizer in so many documents of a batch-sized share is "very common"
 COMMON = 64
 NONE = np.iinfo(np.int64).max
@@ -99,34 +99,32 @@ def second_min(h: np.ndarray, span: int) -> np.ndarray:
 
 
 class Windows:
-    """A batch's windows: starts of all strings of LENGTH bytes within one document, and their minimizers."""
+    """A batch's windows: all strings of LENGTH bytes within one document, as runs of neighbours with one minimizer: start, n (windows), doc, m."""
 
     def __init__(self, b: Batch):
-        self.b = b
-        n = len(b.data)
-        if n < LENGTH:
-            self.starts = np.zeros(0, np.int64)
-            self.doc = np.zeros(0, np.int64)
-            self.h = self.m = np.zeros(0, np.uint64)
-            return
-        self.h = gram_hashes(b.data)
-        whole = sliding_min(self.h, SPAN)
-        ok = np.ones(len(whole), bool)
-        for e in b.offsets[1:-1]:
-            ok[max(0, e - LENGTH + 1) : e] = False
-        self.starts = np.flatnonzero(ok)
-        self.doc = np.repeat(np.arange(len(b.ids)), np.diff(b.offsets))[self.starts]
-        self.m = whole[self.starts]
+        self.b, parts = b, []
+        for lo in range(0, len(b.data) - LENGTH + 1, PIECE):
+            hi = min(len(b.data) - LENGTH + 1, lo + PIECE)
+            m = sliding_min(gram_hashes(b.data[lo : hi + LENGTH - 1]), SPAN)
+            ok = np.ones(hi - lo, bool)
+            for e in b.offsets[1:-1][slice(*np.searchsorted(b.offsets[1:-1], (lo + 1, hi + LENGTH)))].tolist():
+                ok[max(0, e - LENGTH + 1 - lo) : max(0, e - lo)] = False  # these cross a document's end
+            new = ok.copy()
+            new[1:] &= ~ok[:-1] | (m[1:] != m[:-1])
+            first = np.flatnonzero(new)
+            stop = np.flatnonzero(new | ~ok)  # where a run can end
+            after = np.searchsorted(stop, first, side="right")
+            end = np.append(stop, hi - lo)[after]
+            parts.append((first + lo, end - first, m[first]))
+        self.start, self.n, self.m = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        self.doc = np.searchsorted(b.offsets, self.start, side="right") - 1
 
     def minimizers(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct minimizers and the number of the batch's documents that have each."""
         if not len(self.m):
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        new = np.ones(len(self.m), bool)
-        new[1:] = (self.m[1:] != self.m[:-1]) | (self.doc[1:] != self.doc[:-1])
-        m, d = self.m[new], self.doc[new]
-        o = np.argsort(m, kind="stable")
-        m, d = m[o], d[o]
+        o = np.argsort(self.m, kind="stable")
+        m, d = self.m[o], self.doc[o]
         first = np.ones(len(m), bool)
         first[1:] = m[1:] != m[:-1]
         each = first.copy()
@@ -138,25 +136,25 @@ class Windows:
         out = Runs()
         if not len(keys) or not len(self.m):
             return out
-        # neighbours mostly share their minimizer: one search for each change
-        new = np.ones(len(self.m), bool)
-        new[1:] = self.m[1:] != self.m[:-1]
-        edge = np.flatnonzero(new)
-        at = np.minimum(np.searchsorted(keys, self.m[edge]), len(keys) - 1)
-        hit = np.repeat((keys[at] == self.m[edge]) & (flags[at] > 0), np.diff(np.append(edge, len(self.m))))
-        route = self.m
-        if (flags > 1).any():  # a window's route is a matter of its own bytes and of its own minimizer's flag, which all batches know
-            often = np.repeat((keys[at] == self.m[edge]) & (flags[at] > 1), np.diff(np.append(edge, len(self.m))))
-            route = np.where(often, second_min(self.h, SPAN)[self.starts], self.m)
-        sel = np.flatnonzero(hit)
-        if not len(sel):
-            return out
-        s, r = self.starts[sel], route[sel]
-        new = np.ones(len(sel), bool)
-        new[1:] = (s[1:] != s[:-1] + 1) | (r[1:] != r[:-1])
-        first = np.flatnonzero(new)
-        out.start, out.windows, out.route = s[first], np.diff(np.append(first, len(sel))), r[first]
-        out.doc = self.doc[sel][first]
+        at = np.minimum(np.searchsorted(keys, self.m), len(keys) - 1)
+        flag = np.where(keys[at] == self.m, flags[at], 0)
+        plain = np.flatnonzero(flag == 1)
+        parts = [(self.start[plain], self.n[plain], self.m[plain])]
+        often = np.flatnonzero(flag > 1)  # a window's route is a matter of its own bytes and of its own minimizer's flag, which all batches know
+        for part in np.split(often, np.flatnonzero(np.diff(self.start[often] // PIECE)) + 1) if len(often) else ():
+            lo, hi = int(self.start[part[0]]), int(self.start[part[-1]] + self.n[part[-1]])
+            second = second_min(gram_hashes(self.b.data[lo : hi + LENGTH - 1]), SPAN)
+            place = np.repeat(self.start[part] - np.concatenate([[0], np.cumsum(self.n[part])[:-1]]), self.n[part]) + np.arange(int(self.n[part].sum()))
+            route = second[place - lo]
+            route = np.where(route == np.iinfo(np.uint64).max, np.repeat(self.m[part], self.n[part]), route)
+            new = np.ones(len(place), bool)
+            new[1:] = (place[1:] != place[:-1] + 1) | (route[1:] != route[:-1])
+            first = np.flatnonzero(new)
+            parts.append((place[first], np.diff(np.append(first, len(place))), route[first]))
+        start, n, route = (np.concatenate(x) for x in zip(*parts))
+        o = np.argsort(start)
+        out.start, out.windows, out.route = start[o], n[o], route[o]
+        out.doc = np.searchsorted(self.b.offsets, out.start, side="right") - 1
         return out
 
 
@@ -175,8 +173,9 @@ class Runs:
         self.ids = ids
         self.least = np.full(len(names), NONE, np.int64)
         np.minimum.at(self.least, self.name, ids)
-        bucket = np.zeros(len(names), np.int64)
+        bucket, self.part = np.zeros(len(names), np.int64), np.zeros(len(names), np.uint8)
         bucket[self.name] = (mix64(self.route) % np.uint64(buckets)).astype(np.int64)
+        self.part[self.name] = (mix64(self.route + np.uint64(1)) >> np.uint64(56)).astype(np.uint8)  # parts of a bucket share no window
         self.bucket = bucket
         self.by_bucket = order_of(bucket)
 
@@ -303,8 +302,9 @@ def _flags(b: Batch, w: Windows, buckets: int, answers: list[dict]) -> tuple[np.
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     spark = docs.sparkSession
-    buckets = SPREAD * n_partitions(spark)
     store = batched(docs, doc_id, text, BATCH)
+    size = store.agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda x, n: x + n))).first()[0] or 0
+    buckets = max(n_partitions(spark), -(-size // BUCKET))
 
     def ask_minimizers(batches):
         for rb in batches:
@@ -332,7 +332,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     flags = stored(store.mapInArrow(ask_minimizers, "bucket int, batch long, keys binary, counts binary").groupBy("bucket").applyInArrow(count_minimizers, TELL), "minimizer_flags")
     release(spark)
-    ask2 = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("texts", pa.binary()), ("lens", pa.binary()), ("docs", pa.binary())])
+    ask2 = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("texts", pa.binary()), ("lens", pa.binary()), ("docs", pa.binary()), ("parts", pa.binary())])
 
     def ask_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple] = []
@@ -345,24 +345,37 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             for k in np.flatnonzero(np.diff(edge)):
                 at = runs.by_bucket[edge[k] : edge[k + 1]]
                 texts = [runs.texts[i] for i in at]
-                rows.append((int(k), row["batch"], pack(np.frombuffer(b"".join(texts), np.uint8)), pack(np.array([len(t) for t in texts], np.uint32)), pack(runs.least[at])))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, ask2)], schema=ask2)
+                rows.append((int(k), row["batch"], pack(np.frombuffer(b"".join(texts), np.uint8)), pack(np.array([len(t) for t in texts], np.uint32)), pack(runs.least[at]), pack(runs.part[at])))
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 6, ask2)], schema=ask2)
 
     def sort_windows(t: pa.Table) -> pa.Table:
-        texts = [unpack(x, np.uint8) for x in t.column("texts").to_pylist()]
+        texts = np.concatenate([unpack(x, np.uint8) for x in t.column("texts").to_pylist()])
         lens = [unpack(x, np.uint32).astype(np.int64) for x in t.column("lens").to_pylist()]
-        docs_ = [unpack(x, np.int64) for x in t.column("docs").to_pylist()]
-        data = np.concatenate([*texts, np.zeros(16, np.uint8)])
-        all_lens, all_docs = np.concatenate(lens), np.concatenate(docs_)
+        all_lens, all_docs = np.concatenate(lens), np.concatenate([unpack(x, np.int64) for x in t.column("docs").to_pylist()])
+        part = np.concatenate([unpack(x, np.uint8) for x in t.column("parts").to_pylist()])
         first = np.concatenate([[0], np.cumsum(all_lens)[:-1]])
-        windows = all_lens - LENGTH + 1
-        base = np.concatenate([[0], np.cumsum(windows)[:-1]])
-        starts = np.repeat(first - base, windows) + np.arange(int(windows.sum()))
-        doc = np.repeat(all_docs, windows)
-        group = repeated_windows(data, starts)
-        least = np.full(int(group.max()) + 1, NONE, np.int64)
-        np.minimum.at(least, group, doc)
-        hit = least[group] < doc
+        base = np.concatenate([[0], np.cumsum(all_lens - LENGTH + 1)])
+        hit = np.zeros(int(base[-1]), bool)
+        pieces = min(256, max(1, -(-len(texts) // PIECE)))
+        part = order_of(part % pieces), part % pieces
+        edge = np.searchsorted(part[1][part[0]], np.arange(pieces + 1))
+        for k in range(pieces):  # sorted one after the other, each by itself
+            at = part[0][edge[k] : edge[k + 1]]
+            if not len(at):
+                continue
+            n = all_lens[at]
+            own = np.concatenate([[0], np.cumsum(n)])
+            data = np.zeros(int(own[-1]) + 16, np.uint8)
+            data[: own[-1]] = texts[np.repeat(first[at] - own[:-1], n) + np.arange(int(own[-1]))]
+            windows = n - LENGTH + 1
+            slot = np.concatenate([[0], np.cumsum(windows)])
+            each = np.arange(int(slot[-1]))
+            starts = np.repeat(own[:-1] - slot[:-1], windows) + each
+            doc = np.repeat(all_docs[at], windows)
+            group = repeated_windows(data, starts)
+            least = np.full(int(group.max()) + 1, NONE, np.int64)
+            np.minimum.at(least, group, doc)
+            hit[np.repeat(base[at] - slot[:-1], windows) + each] = least[group] < doc
         out, at = [], 0
         for x in lens:
             n = int((x - LENGTH + 1).sum())
@@ -370,7 +383,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             at += n
         return pa.Table.from_arrays([t.column("batch"), pa.array([2] * len(out), pa.int32()), t.column("bucket"), pa.array(out, pa.binary())], schema=_TELL)
 
-    asked = store.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(ask_windows, "bucket int, batch long, texts binary, lens binary, docs binary")
+    asked = store.groupBy("batch").cogroup(flags.groupBy("batch")).applyInArrow(ask_windows, "bucket int, batch long, texts binary, lens binary, docs binary, parts binary")
     hits = stored(asked.groupBy("bucket").applyInArrow(sort_windows, TELL), "window_hits")
     release(spark)
     done = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
@@ -398,11 +411,17 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                         bits[where] = got
                 # of equal strings in a batch, those of greater ids are repeats whatever the answer is
                 later = runs.ids > runs.least[runs.name]
-                offs = np.arange(int(runs.windows.sum())) - np.repeat(np.concatenate([[0], np.cumsum(runs.windows)[:-1]]), runs.windows)
-                hit = bits[np.repeat(slot[runs.name], runs.windows) + offs] | np.repeat(later, runs.windows)
-                p = (np.repeat(runs.start, runs.windows) + offs)[hit]
-                np.add.at(edges, p, 1)
-                np.add.at(edges, p + LENGTH, -1)
+                total = np.concatenate([[0], np.cumsum(runs.windows)])
+                lo = 0
+                while lo < len(runs.start):  # as many runs as make about PIECE windows
+                    hi = max(lo + 1, int(np.searchsorted(total, total[lo] + PIECE, side="right")) - 1)
+                    n = runs.windows[lo:hi]
+                    offs = np.arange(int(n.sum())) - np.repeat(total[lo:hi] - total[lo], n)
+                    hit = bits[np.repeat(slot[runs.name[lo:hi]], n) + offs] | np.repeat(later[lo:hi], n)
+                    p = (np.repeat(runs.start[lo:hi], n) + offs)[hit]
+                    edges[p] += 1  # a window is in one run
+                    edges[p + LENGTH] -= 1
+                    lo = hi
             gone = np.cumsum(edges[:-1]) > 0
             for i, name in enumerate(b.ids):
                 lo, hi = int(b.offsets[i]), int(b.offsets[i + 1])

@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from simgrove.llm import elias_fano, entropy_mix, hilbert_ann, katz_lm, near_dedup, phrase_index, suffix_dedup, toxicity, virtual_slots, warc_merge
+from simgrove.llm import elias_fano, entropy_mix, hilbert_ann, katz_lm, near_dedup, packed, phrase_index, suffix_dedup, toxicity, virtual_slots, warc_merge
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, bucket int, batch long"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -235,6 +236,37 @@ def test_local_suffix_sort():
             assert seen.setdefault(w, x) == x and back.setdefault(x, w) == w
 
 
+def test_windows_in_small_pieces(monkeypatch):
+    """Runs cover each window once, whatever the pieces, and equal windows have equal routes."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.choice([97, 98], n).astype(np.uint8)) for n in (0, 49, 50, 51, 400, 0, 300)] + [b"x" * 300, b"ab" * 200]
+    texts.append(texts[4])
+    b = packed.Batch({"batch": 0, "ids": list(range(len(texts))), "lens": [len(t) for t in texts], "text": zstandard.ZstdCompressor().compress(b"".join(texts))})
+    want = {(i, k): t[k : k + 50] for i, t in enumerate(texts) for k in range(len(t) - 49)}
+    for piece in (7, 64, 1 << 18):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        w = suffix_dedup.Windows(b)
+        keys, counts = w.minimizers()
+        assert counts.max() >= 2
+        for flags in (np.ones(len(keys), np.uint8), np.full(len(keys), 2, np.uint8)):
+            r = w.runs(keys, flags)
+            seen, route = [], {}
+            for start, n, doc, x in zip(r.start.tolist(), r.windows.tolist(), r.doc.tolist(), r.route.tolist()):
+                for k in range(start - int(b.offsets[doc]), start - int(b.offsets[doc]) + n):
+                    seen.append((doc, k))
+                    assert route.setdefault(want[doc, k], x) == x
+            assert sorted(seen) == sorted(want)
+
+
+def test_a_long_text_and_its_parts(spark):
+    rng = np.random.default_rng(3)
+    long = "".join(map(chr, rng.integers(97, 123, 5_000_000)))
+    rows = [(1, long[2_000_000:2_000_400], "s"), (2, long, "s"), (3, long[100:160] + "-" + long[4_999_900:], "s"), (4, "y" * 500_000, "s"), (5, "y" * 60, "s")]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.substring_dedup(frame(spark, rows)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (0, 0, sha(rows[0][1])), 2: (400, 1, sha(long[:2_000_000] + long[2_000_400:])), 3: (160, 2, sha("-")), 4: (0, 0, sha(rows[3][1])), 5: (60, 1, sha(""))}
+
+
 # ---- language model
 
 def brute_katz(rows):
