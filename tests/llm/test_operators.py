@@ -79,6 +79,57 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r["predicted"] for r in toxicity.score_documents(d, l.limit(0)).collect()} == {0}
 
 
+def test_toxicity_scores_against_brute_force(spark, sf):
+    """Every registered score again, window by window with plain compressors: no cache, no short cut, no strongest few."""
+    import re
+
+    import __spark_entry__ as entry
+
+    sf = sf.replace("sf0.001", "sf0.01")  # enough labels for a table
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = toxicity.fit(toxicity.training_rows(docs, labels))
+    assert m.table and m.slope > 0
+    t, o = toxicity._compressor(m.toxic), toxicity._compressor(m.ordinary)
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in entry.queries()["op1_toxicity"](spark, sf).collect()}
+    assert len(got) == docs.count()
+    for r in docs.collect():
+        z = m.offset
+        for w in toxicity.windows(r["text"]):
+            x = (b" " + w) * 4 + b" "
+            z += m.slope * m.table.get((len(w), len(o.compress(x)), len(t.compress(x))), 0.0)
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+        assert got[r["doc_id"]] == (pytest.approx(p, rel=1e-9), int(got[r["doc_id"]][0] >= 0.5))
+    assert toxicity.windows("One tWo, one") == set(re.findall(rb"[a-z]+", b"one two one"))
+
+
+def test_toxicity_in_small_batches(spark):
+    """A task with several batches of mixed sizes returns one schema."""
+    rng = random.Random(4)
+    rows = [(i, None if i % 7 == 0 else "" if i % 5 == 0 else " ".join(rng.choices(WORDS + ["rotten"] * (i % 3 == 0), k=rng.randrange(1, 300))), None if i % 4 else "s") for i in range(60)]
+    d = frame(spark, rows + rows[:5] + [(None, "rotten", None)]).coalesce(1)
+    l = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        scored = toxicity.score_documents(d, l, keep=["text", "source", "bucket"])
+        assert scored.count() == 66 and toxicity.clean_documents(d, l).count() == scored.filter("predicted = 0").count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_pieces_have_one_schema():
+    import pyarrow as pa
+
+    from simgrove.llm.common import chunks
+
+    sizes = [0, 5, 0, 0, 90, 3, 1000, 2, 2, 0] + [0] * 30
+    batches = [pa.RecordBatch.from_pydict({"text": pa.array([None if n == 2 else "x" * n for n in sizes[k : k + 3]]), "k": pa.array(list(range(k, min(k + 3, len(sizes))))), "s": pa.array(["y"] * len(sizes[k : k + 3]))}) for k in range(0, len(sizes), 3)]
+    out = list(chunks(batches, "text", 100, 8))
+    assert [x for b in out for x in b.column("k").to_pylist()] == list(range(len(sizes)))
+    assert len({str(b.schema) for b in out}) == 1 and max(b.num_rows for b in out) <= 8
+    assert all(sum(len(t or "") for t in b.column("text").to_pylist()) <= 100 or b.num_rows == 1 for b in out)
+
+
 def test_toxicity_of_unspaced_text(spark):
     """A toxic word far into an unspaced sentence, or after a no-break space or a long dash, counts."""
     rng = random.Random(9)
