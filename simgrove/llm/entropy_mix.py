@@ -11,7 +11,7 @@ The running sums are put together from small groups (source, size class, hash of
 OFFSETS starting points of the cut, each source takes the one whose words come nearest its target.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; documents without words get rate 1 and take
-0 words; repeated rows each get copies of their own; without any words all targets are 0; an empty table gives an empty result; other columns are not read.
+0 words; repeated rows each get copies of their own; a very long text is one row of its source; without any words all targets are 0; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import discard, stored
+from simgrove.llm.common import discard, fresh, stored
 
 CAP, UNIT, OFFSETS, CYCLE = 3, 1 << 20, 32, 3
 STEPS = 60
@@ -87,12 +87,12 @@ def solve(hist: DataFrame, srcs: DataFrame, cap: int = CAP) -> DataFrame:
         before, state = state, stored(s, "state")
         discard(before)
         if state.filter("not done").isEmpty():
-            break
-    return state
+            return state
+    raise RuntimeError(f"the dual has not been solved in {STEPS} steps")
 
 
 def mix(docs: DataFrame, cap: int = CAP, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """A row for each document: doc_id, size, source_size, target, taken, copies, rate, text_key."""
+    """A row for each document: doc_id, size, source_size, target, taken, copies, rate, text_key, source_key."""
     d = docs.select(F.col(doc_id).alias("doc_id"), source_key(F.col(source)).alias("key"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("text_key"))
     d = stored(d, "sizes")
     hist = stored(d.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
@@ -118,16 +118,18 @@ def mix(docs: DataFrame, cap: int = CAP, doc_id: str = "doc_id", text: str = "te
     words = d.groupBy("key").agg(*[F.sum(copies(F.lit(s)) * F.col("size")).alias(f"w{i}") for i, s in enumerate(starts)], F.first("target").alias("target"))
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("target")), F.lit(s)) for i, s in enumerate(starts)]))[F.lit("col2")]
     d = d.join(words.select("key", best.alias("start")), "key").withColumn("copies", F.least(copies(F.col("start")), F.lit(cap)).cast("long"))
-    return d.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", (F.col("r") / UNIT).alias("rate"), "text_key")
+    return d.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", (F.col("r") / UNIT).alias("rate"), "text_key", F.col("key").alias("source_key"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents as the mix has them: each row as many times as it has copies, all columns kept."""
-    taken = mix(docs).select("doc_id", "text_key", "copies")
-    same = W.partitionBy("doc_id", "text_key")
-    taken = taken.withColumn("nth", F.row_number().over(same.orderBy(F.desc("copies")))).filter("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("mix_id"), F.col("text_key").alias("mix_key"), "nth", F.col("copies").alias("mix_copies"))
-    d = docs.withColumn("mix_key_", F.xxhash64("text"))
-    d = d.withColumn("mix_nth_", F.row_number().over(W.partitionBy("doc_id", "mix_key_").orderBy("doc_id")))
-    d = d.join(taken, F.col("doc_id").eqNullSafe(F.col("mix_id")) & (F.col("mix_key_") == F.col("mix_key")) & (F.col("mix_nth_") == F.col("nth")))
-    return d.withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    """The documents as the mix has them: each row as many times as it has copies, all columns kept. Rows equal in id, text and source stand for one another."""
+    own = ["mix_id", "mix_text", "mix_source", "mix_nth", "mix_copies", "mix_copy"]
+    m_id, m_text, m_source, m_nth, m_copies, m_copy = (fresh(x, docs) for x in own)
+    key, source, nth = (fresh(x, docs) for x in ("own_text", "own_source", "own_nth"))
+    taken = mix(docs).select(F.col("doc_id").alias(m_id), F.col("text_key").alias(m_text), F.col("source_key").alias(m_source), F.col("copies").alias(m_copies))
+    taken = taken.withColumn(m_nth, F.row_number().over(W.partitionBy(m_id, m_text, m_source).orderBy(F.desc(m_copies)))).filter(F.col(m_copies) > 0)
+    d = docs.withColumns({key: F.xxhash64("text"), source: source_key(F.col("source"))})
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    d = d.withColumn(nth, F.row_number().over(W.partitionBy("doc_id", key, source).orderBy(order)))
+    d = d.join(taken, F.col("doc_id").eqNullSafe(F.col(m_id)) & (F.col(key) == F.col(m_text)) & (F.col(source) == F.col(m_source)) & (F.col(nth) == F.col(m_nth)))
+    return d.withColumn(m_copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(m_copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import broadcast_if_small, chunks, discard, mix64, stored, utf8, word_hashes, words_of
+from simgrove.llm.common import broadcast_if_small, chunks, discard, fresh, mix64, stored, utf8, word_hashes, words_of
 from simgrove.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
@@ -329,10 +329,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     same = [F.col("doc_id").eqNullSafe(F.col("best.doc_id")), F.col("text_key") == F.col("best.text_key")]
     again = n.join(best.withColumnRenamed("component", "c").filter("rows > 1"), F.col("component") == F.col("c")).withColumn("wins", same[0] & same[1])
     again = stored(again.groupBy(F.col("doc_id").alias("near_id"), F.col("text_key").alias("near_key")).agg(F.max("wins").alias("near_wins"), F.count(F.lit(1)).alias("near_rows")), "shared")
-    there = "near_key_" + "x" * max(map(len, docs.columns), default=0)  # a name that no column has
+    there, near_id, near_key = (fresh(x, docs) for x in ("text_key", "near_id", "near_key"))
     d = docs.withColumn(there, F.xxhash64("text"))
-    match = d["doc_id"].eqNullSafe(F.col("near_id")) & (d[there] == F.col("near_key"))
-    gone, twice = again.filter("not near_wins"), again.filter("near_wins and near_rows > 1")
+    again = again.withColumnsRenamed({"near_id": near_id, "near_key": near_key})
+    match = F.col("doc_id").eqNullSafe(F.col(near_id)) & (F.col(there) == F.col(near_key))
+    pick = [near_id, near_key]
+    gone, twice = again.filter("not near_wins").select(*pick), again.filter("near_wins and near_rows > 1").select(*pick)
     stays = d.join(broadcast_if_small(gone, gone.count(), BROADCAST_IDS), match, "left_anti")
     n_twice = twice.count()
     if not n_twice:

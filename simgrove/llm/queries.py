@@ -46,7 +46,7 @@ def op8_warc_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entropy_mix.mix(table(spark, sf_dir, "documents")).drop("text_key")
+    return entropy_mix.mix(table(spark, sf_dir, "documents")).drop("text_key", "source_key")
 
 
 def op10_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
