@@ -4,8 +4,11 @@ Records hash by id into thousands of slots whose number never changes. Bytes are
 slots to shards. Rebalancing edits the map: a new version differs from the last one only in the slots that move. The law that
 holds is `bytes`: shards hold nearly equal bytes.
 
-Defined results: a null text has size 8 and the crc of no bytes; null ids share one slot; repeated rows stay, side by side;
-an empty table gives an empty result and a map all the same; other columns are not read.
+Under this law a record's slot comes from its id, text and size, so that null or repeated ids spread over the slots like others. Equal texts are not kept
+together: a group of copies, even of a third of all rows, goes over all shards by its ids.
+
+Defined results: a null text has size 8 and the crc of no bytes; null and repeated ids are told apart by their texts; rows equal in id and text share a slot, side by side;
+a very long text makes its slot as heavy as it is, and other slots of its shard fewer; an empty table gives an empty result and a map all the same; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +26,8 @@ def records(docs: DataFrame, slots: int = SLOTS, doc_id: str = "doc_id", text: s
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     return docs.select(
         F.col(doc_id).alias("doc_id"), (F.octet_length(body) + F.lit(8)).cast("long").alias("size"),
-        F.crc32(body).alias("text_crc32"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(slots)).cast("int").alias("virtual_slot"),
-    )
+        F.crc32(body).alias("text_crc32"),
+    ).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(slots)).cast("int"))
 
 
 def slot_sizes(recs: DataFrame) -> list[tuple[int, int, int]]:
