@@ -148,9 +148,10 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, parts, size, entries = TaskContext.get().partitionId(), 0, [], 0, []
+        attempt = TaskContext.get().taskAttemptId()  # rows may come in another order in another attempt: its files have names of their own
 
         def close() -> pa.RecordBatch:
-            path = f"{folder}/capture-{part:06d}-{k:06d}.warc.gz"
+            path = f"{folder}/capture-{part:06d}-{attempt}-{k:06d}.warc.gz"
             put(path, parts)
             rows = [dict(zip(("key", "ts", "page_id", "offset", "length"), e[0:2] + e[3:])) | {"file": path} for e in sorted(entries)]
             return pa.RecordBatch.from_pydict({"run": [f"{part:06d}-{k:06d}"], "entries": [rows]}, schema=_RUN)
