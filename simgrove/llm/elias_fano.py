@@ -13,6 +13,7 @@ side by side, ordered by text; an empty table gives no segment and an empty resu
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -151,8 +152,13 @@ class Segment:
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: fixed values: the normalizer and division into pieces of the tokenizers that can be asked piece by piece
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+DIVISION = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": PIECES.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
 class CachedTokenizer:
-    """The tokenizer, asked once for each piece of text between white space.
+    """The tokenizer, asked once for each piece of text between white space. A tokenizer with other rules than NORMALIZER and DIVISION, or without word ends, is given whole texts.
 
     Its pieces never reach over white space, so a text's ids are its pieces' ids in order. Pieces of Latin-1 text are looked up
     word by word and new words are encoded together; the ids of word ends tell them apart again. Other pieces are encoded as they stand.
@@ -163,6 +169,8 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        rules = json.loads(self.t.to_str())
+        self.by_piece = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == DIVISION and rules["model"].get("end_of_word_suffix") == "</w>" and not rules["model"].get("dropout")
         vocab = self.t.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocab.values(), default=0) < 1 << 16 else 4
         self.dtype = f"<u{self.width}"
@@ -192,6 +200,8 @@ class CachedTokenizer:
                     self.words[w] = self._plain(w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_piece:
+            return [self._plain(t or "") for t in texts]
         raw = [(t or "").encode("utf-8", "replace") for t in texts]
         odd = [i for i, r in enumerate(raw) if any(map(r.__contains__, self.odd))]
         split = [r.split() for r in raw]
