@@ -651,3 +651,68 @@ def test_pipeline_stages(spark, sf):
             assert {r["doc_id"] for r in out.collect()} == {i for i, h in hits.items() if not h[4]}
         assert 0 < out.count() <= 3 * docs.count()
         docs = out
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Each stage on nulls, empty and long texts, repeated rows, clashing names and an empty table, against brute force."""
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    plain = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+    rows = [(i, plain(rng.randrange(12, 60)) + (" rotten lowlife" if i % 6 == 0 else ""), rng.choice(["a", "b", None])) for i in range(120)]
+    leak = plain(14)
+    rows += [(200, plain(5) + " " + leak + " end", "a"), (201, None, "b"), (202, "", None), (203, " ", "a"), (204, plain(30_000), "b"), (None, rows[1][1], "a"), (None, rows[1][1], "b"), (1, *rows[1][1:]), (205, rows[7][1] + " x", "a"), (None, None, None)]
+    clash = ["found_id", "found_key", "mix_id", "mix_text", "own_nth", "near_id", "text_key", "simgrove_text", "kept_0", "score", "component", "bucket", "digest", "node", "size"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} long" for c in clash)
+    docs = spark.createDataFrame([(i, t, "en", s, 0, *range(len(clash))) for i, t, s in rows], schema)
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(120)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "", r["source"] or "")
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns
+        got, had = [key(r) for r in out.collect()] if name != "sharding" else [], [key(r) for r in docs.collect()]
+        if name != "sharding":
+            assert out.columns == docs.columns
+        if name == "toxicity":
+            assert sorted(got) == sorted(k for k in had if "lowlife" not in k[1])
+        if name == "near_duplicates":
+            sets, left = {k: shingle_set(k[1]) for k in had}, []
+            for k in sorted(had, key=lambda k: (k[0] < 0, k)):  # the smallest id first, rows without one last
+                if not sets[k] or not any(100 * len(sets[k] & sets[x]) >= 75 * len(sets[k] | sets[x]) for x in left if sets[x]):
+                    left.append(k)
+            assert sorted(k[:2] for k in got) == sorted(k[:2] for k in left)
+        if name == "decontamination":
+            assert sorted(got) == sorted(k for k in had if leak not in k[1])
+        if name == "source_mix":
+            n = Counter(got)
+            assert set(n) <= set(had) and max(n.values()) <= 3
+            words = lambda rows, s: sum(len(t.split()) for _, t, x in rows if x == s)
+            for s, w in (("a", 1), ("b", 2), ("", 3)):
+                want = {k[2]: k for k in had}
+                assert words(got, s) <= 3 * words(had, s)
+            t = {r["key"]: r["target"] for r in entropy_mix.targets(spark.createDataFrame([("=a" if s == "a" else "=b" if s == "b" else "~", s or None, words(had, s)) for s in ("a", "b", "")], "key string, source string, source_size long")).collect()}
+            longest = max(len(k[1].split()) for k in had)
+            assert all(abs(words(got, s) - t[k]) <= longest for k, s in (("=a", "a"), ("=b", "b"), ("~", "")))
+        if name == "sharding":
+            r = out.collect()
+            assert Counter((x["size"], x["text_crc32"]) for x in r) == Counter((len(k[1].encode()) + 8, zlib.crc32(k[1].encode())) for k in had)
+            for shard in {x["shard"] for x in r}:
+                assert sorted(x["slot"] for x in r if x["shard"] == shard) == list(range(sum(x["shard"] == shard for x in r)))
+        docs = out.cache()
+
+
+def test_null_ids_spread_over_shards(spark):
+    rng = random.Random(3)
+    d = spark.createDataFrame([(None if i % 2 else i, " ".join(rng.choices(WORDS, k=rng.randrange(5, 60)))) for i in range(5000)], "doc_id long, text string")
+    r = virtual_slots.shard_documents(d).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert len(r) == 24 and max(x["b"] for x in r) <= 1.02 * min(x["b"] for x in r)
+
+
+def test_another_tokenizer_gets_whole_texts(tmp_path):
+    T = pytest.importorskip("tokenizers")
+    t = T.Tokenizer(T.models.WordLevel({"a b": 0, "[UNK]": 1, "A": 2}, unk_token="[UNK]"))
+    t.save(f"{tmp_path}/t.json")
+    c = elias_fano.CachedTokenizer(f"{tmp_path}/t.json")
+    assert [np.frombuffer(x, c.dtype).tolist() for x in c.encode(["a b", "A", None, "b"])] == [[0], [2], [], [1]]
