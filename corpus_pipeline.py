@@ -1,6 +1,10 @@
 """From documents to shards: toxicity, near duplicates, benchmark contamination, source mix, shards.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. The labels and the benchmark come from sf_dir.
+
+Defined results: a null or empty text is not toxic, near no other, not contaminated, has no words (rate 1) and size 8; rows without id are judged like others;
+of rows that are equal in id and text near-deduplication keeps one; a null source is one source; very long texts are read whole; an empty table gives an empty one;
+all columns of the input come along, whatever their names, through all stages but the last, which returns id, size, crc, shard and place.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simgrove.llm import entropy_mix, near_dedup, phrase_index, toxicity, virtual_slots
-from simgrove.llm.common import broadcast_if_small, stored, table
+from simgrove.llm.common import broadcast_if_small, fresh, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +29,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     found = phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("contaminated")
-    found = stored(found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct(), "contaminated")
-    same = docs["doc_id"].eqNullSafe(F.col("found_id")) & (F.xxhash64(docs["text"]) == F.col("found_key"))
+    found_id, found_key = fresh("found_id", docs), fresh("found_key", docs)
+    found = stored(found.select(F.col("doc_id").alias(found_id), F.col("text_key").alias(found_key)).distinct(), "contaminated")
+    same = docs["doc_id"].eqNullSafe(F.col(found_id)) & (F.xxhash64(docs["text"]) == F.col(found_key))
     return docs.join(broadcast_if_small(found, found.count(), phrase_index.BROADCAST_ROWS), same, "left_anti")
 
 
