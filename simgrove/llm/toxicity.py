@@ -105,8 +105,8 @@ def _dictionary(words: list[bytes], size: int) -> bytes:
     if len(plain) <= size:
         return plain + pad
     try:
-        samples = [_body(w) for w in words]
-        return zstandard.train_dictionary(size, samples[:: max(1, len(samples) // 200_000)]).as_bytes() + pad
+        samples = [_body(w) for w in words[:: max(1, len(words) // 200_000)]]
+        return zstandard.train_dictionary(size, samples).as_bytes() + pad
     except zstandard.ZstdError:
         return plain[-size:] + pad
 
