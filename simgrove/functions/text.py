@@ -79,3 +79,8 @@ def sample_label_text(index: Column, label: Column, plain: bool = False) -> Colu
 
 def filename_build(family: Column, key: Column, sha: Column, suffix: Column) -> Column:
     return F.concat(F.concat_ws("__", family, key.cast("string"), F.substring(sha, 1, 12)), suffix)
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC, to the second: 2024-01-31T12:00:00Z."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")

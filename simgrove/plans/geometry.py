@@ -53,6 +53,8 @@ mk as (select m.step, m.i, k.threshold, k.cluster_id, k.size, k.members, m.rep f
 
 
 P = sql_parts()
+#: the parts up to m (step, i, rep): statements that need no member lists aggregate it directly
+M = P[: P.index(",\nc as (select step, rep")]
 # merge events and the tree: components at one step with those at the step before
 EV = P + """, ov as (select distinct b.step, a.cluster_id old_id, b.cluster_id new_id, a.members om, b.members nm, b.threshold, b.size from mk a join mk b on a.i = b.i and b.step = a.step + 1),
 ev as (select step, threshold, new_id, nm, size, list(old_id order by old_id) ids, list(om order by old_id) cl from ov group by all having count(*) > 1)
@@ -171,22 +173,24 @@ def filtration_linkage(spark, sf):
     return forest.filtration_linkage(model(spark, sf)["t"])
 
 
-@query(P + f"select rep min_member, size, {JOINED.format('members')} members from k where step = 3")
+@query(M + " select rep min_member, count(*) size, string_agg(i::varchar, '-' order by i) members from m where step = 3 group by rep")
 def components_from_linkage(spark, sf):
     m = model(spark, sf)
     t = m["t"].filter("death <= 0.35 and birth > 0.35")
     return forest.with_members(t, m["t"]).select("min_member", "size", dash("members").alias("members"))
 
 
-@query(f"select step::bigint step, 0::bigint differences from (values {VALUES}) t(step, t)")
+@query(M + " select step::bigint step, count(distinct rep) components, count(distinct rep) || ':' || sum(rep * (i % 7 + 1)) partition_sum, 0::bigint differences from m group by 1")
 def verify_linkage(spark, sf):
-    """Cuts of the merge tree against components found by label propagation on the pairs themselves: no difference at any threshold."""
+    """Cuts of the merge tree against components found on the pairs themselves: no difference at any threshold; and of the cut its number of components and a sum that tells partitions apart."""
     m = model(spark, sf)
     cut = sift.membership(m["t"], m["g"]).join(m["t"].select("comp_id", "min_member"), "comp_id").select("step", "sample_id", F.col("min_member").alias("rep"))
     p = similarity.pair_similarity(m["f"], above=min(TH))
     found = forest_components(p, m["s"], m["g"])
     diff = cut.exceptAll(found).unionByName(found.exceptAll(cut)).groupBy("step").agg(F.count(F.lit(1)).alias("d"))
-    return sift.grid_rows(m["g"]).join(diff, "step", "left").select("step", F.coalesce("d", F.lit(0)).cast("long").alias("differences"))
+    told = cut.groupBy("step").agg(F.countDistinct("rep").alias("components"), F.sum(F.col("rep") * (F.col("sample_id") % 7 + 1)).alias("s"))
+    told = sift.grid_rows(m["g"]).select("step").join(told, "step").join(diff, "step", "left")
+    return told.select("step", "components", F.concat_ws(":", F.col("components").cast("string"), F.col("s").cast("string")).alias("partition_sum"), F.coalesce("d", F.lit(0)).cast("long").alias("differences"))
 
 
 def forest_components(pairs: DataFrame, samples: DataFrame, g: DataFrame) -> DataFrame:
@@ -218,12 +222,12 @@ def threshold_grid(spark, sf):
     return sift.grid_rows(g).select("step", "threshold")
 
 
-@query(P + "select 0.35::double target, step::bigint step, threshold from (select distinct step, threshold from k) order by abs(threshold - 0.34), step limit 1")
+@query(P + "select 0.34::double target, step::bigint step, threshold from (select distinct step, threshold from k) order by abs(threshold - 0.34), step limit 1")
 def nearest_snapshot(spark, sf):
-    return sift.nearest_step(sift.explicit_grid(spark, [LAYER], TH), 0.34).select(F.lit(0.35).alias("target"), "step", "threshold")
+    return sift.nearest_step(sift.explicit_grid(spark, [LAYER], TH), 0.34).select(F.lit(0.34).alias("target"), "step", "threshold")
 
 
-@query(P + "select step::bigint step, size component_size, count(*) n from k group by 1, 2")
+@query(M + " select step::bigint step, size component_size, count(*) n from (select step, rep, count(*) size from m group by 1, 2) group by 1, 2")
 def curve_interval_join(spark, sf):
     m = model(spark, sf)
     return sift.at_steps(m["t"], m["g"]).groupBy("step", F.col("size").alias("component_size")).agg(F.count(F.lit(1)).alias("n"))
@@ -235,7 +239,7 @@ def cluster_rank(spark, sf):
     return sift.at_steps(m["t"], m["g"]).select("step", "min_member", "cluster_id")
 
 
-@query(P + f"select step::bigint step, threshold, count(*) num_clusters, string_agg({JOINED.format('members')}, '|' order by cluster_id) clusters from k group by 1, 2")
+@query(M + ", x as (select step, rep, string_agg(i::varchar, '-' order by i) ms from m group by 1, 2) select step::bigint step, t threshold, count(*) num_clusters, string_agg(ms, '|' order by rep) clusters from x join th using (step) group by 1, 2")
 def threshold_snapshots(spark, sf, steps=None):
     m = model(spark, sf, steps)
     s = tracking.threshold_snapshots(m["t"], m["g"])
@@ -311,9 +315,9 @@ def class_summary(spark, sf):
     return tracking.class_summary(tracking.class_partitions(m["t"], m["g"], 0.34), labels(spark, sf)).drop("layer")
 
 
-@query(P + """, w as (select 'critical' landmark, 3 step union all select 'midpoint', 0 union all select 'near_convergence', 5),
-x as (select landmark, threshold, (row_number() over (partition by landmark order by size desc, rep) - 1)::bigint component_index, size, members from k join w using (step)), y as (select landmark, threshold, component_index, size, unnest(members) i from x)
-select landmark, threshold, component_index, size, label::varchar as label, count(*) n from y join embeddings on vec_id = i group by all""")
+@query(M + """, w as (select 'critical' landmark, 3 step union all select 'midpoint', 0 union all select 'near_convergence', 5), z as (select step, rep, count(*) size from m group by 1, 2),
+x as (select step, rep, landmark, t threshold, (row_number() over (partition by landmark order by size desc, rep) - 1)::bigint component_index, size from z join w using (step) join th using (step))
+select landmark, threshold, component_index, size, label::varchar as label, count(*) n from x join m using (step, rep) join embeddings on vec_id = i group by all""")
 def landmark_components(spark, sf):
     m = model(spark, sf)
     critical = spark.createDataFrame([(LAYER, 0.352)], "layer string, critical_threshold double")
@@ -359,12 +363,15 @@ def linear_fallback(spark, sf):
     return curve.linear_fallback(curve4(spark)).select(F.col("idx").cast("long").alias("idx"), *r6("threshold", "components"))
 
 
-@query("select 'curve4' layer, true same_rate, round(5.0::double, 6) critical_rate")
+@query("""with s as (select p_brand layer, row_number() over (partition by p_brand order by p_partkey) - 1 idx, p_partkey::double threshold, p_size::double derivative from part), b as (select layer, max(derivative) top, max(idx) last from s group by 1)
+select s.layer, min(threshold) critical_threshold, top critical_rate, min(idx) = 0 or min(idx) = any_value(last) boundary_limited from s join b on s.layer = b.layer and derivative = top group by s.layer, top""")
 def critical_threshold(spark, sf):
-    c = curve4(spark)
-    s = curve.smooth_curve(c, curve.fit_sigmoid(c, force_fallback=True))
-    x = curve.critical_threshold(s)
-    return x.select("layer", (F.abs(F.col("critical_rate") - 5) < 1e-6).alias("same_rate"), *r6("critical_rate"))
+    """The steepest place of each brand's curve of sizes over part keys: whole sizes, so that many tie and the lowest threshold counts."""
+    from pyspark.sql import Window as W
+
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    s = p.select(F.col("p_brand").alias("layer"), (F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey")) - 1).alias("idx"), F.col("p_partkey").cast("double").alias("threshold"), F.col("p_size").cast("double").alias("derivative"))
+    return curve.critical_threshold(s)
 
 
 @query()
@@ -413,7 +420,8 @@ def analyze_layer(spark, sf):
 
 
 def _analysis(conv: DataFrame, c: DataFrame) -> DataFrame:
-    fits = curve.fit_sigmoid(c)
+    c = c.cache()  # a row for each step, and below one for each layer: read by all that follows
+    fits = curve.fit_sigmoid(c).cache()
     x = curve.critical_threshold(curve.smooth_curve(c, fits))
     return conv.join(fits, "layer").join(x, "layer").join(curve.curve_shape(c), "layer")
 
@@ -533,10 +541,11 @@ def pair_evolution(spark, sf):
     return e.select("i", "j", *[F.round(c, 5).alias(c) for c in ("first", "last", "delta", "min", "max", "range", "mean", "std")], "layer_of_min", "layer_of_max")
 
 
-@query(f"with {LAYERED} select i, j, count(*) n_layers, string_agg(round(s, 4)::varchar, ',' order by k) = string_agg(round(s, 4)::varchar, ',' order by k) same from p where s > 0.5 group by 1, 2")
+@query(f"with {LAYERED} select i, j, count(*) n_layers, {', '.join(f'max(round(s, 5)) filter (where k = {k}) layer_{k}' for k in range(1, 5))} from p where s > 0.5 group by 1, 2")
 def layer_pair_align(spark, sf):
+    """The similarities of a pair side by side, a column for each layer."""
     p = similarity.pair_similarity(src.layered(spark, sf), above=0.5)
-    return p.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_layers"), F.lit(True).alias("same"))
+    return p.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n_layers"), *[F.max(F.when(F.col("layer") == f"layer_{k}", F.round("similarity", 5))).alias(f"layer_{k}") for k in range(1, 5)])
 
 
 @query(EVO + """, z as (select i, j, 1 w, row_number() over (order by mx - mn desc, i, j) r from ev qualify r <= 20 union all select i, j, 2, row_number() over (order by l - f desc, i, j) r from ev qualify r <= 15
@@ -566,14 +575,21 @@ def nested_prefix(spark, sf):
     return src.embeddings(spark, sf).orderBy("sample_id").limit(100).select("sample_id")
 
 
-@query("select 6::bigint n_rules, 0::bigint n_errors".replace("6", "5"))
+@query(f"""with {UNIT}, b as (select i, j, s from p union all select j, i, s from p), d as (select vec_id i from embeddings)
+select 'embedding' layer, 'square' rule, 'error' severity, 1::bigint n_bad union all select 'embedding', 'two_samples', 'error', 0 union all select 'embedding', 'diagonal', 'warning', count(*) filter (where i % 50 = 7) from d
+union all select 'embedding', 'symmetry', 'warning', count(*) filter (where (i * j) % 101 = 5) from p
+union all select 'embedding', 'range', 'warning', count(*) filter (where abs(s + case when (i + j) % 97 = 0 then 2 else 0 end + case when i < j and (i * j) % 101 = 5 then 0.125 else 0 end) > 1.1) from b""")
 def validate_matrix(spark, sf):
+    """The matrix of the embeddings with planted faults: a diagonal cell missing, diagonals of 0.5, cells raised by 2 on both sides, cells raised by 0.125 above the diagonal only."""
     from simgrove.operators.curation import validate_matrix as check
 
+    i, j = F.col("i"), F.col("j")
     p = similarity.pair_similarity(src.embeddings(spark, sf))
     d = src.embeddings(spark, sf).select("layer", F.col("sample_id").alias("i"), F.col("sample_id").alias("j"), F.lit(1.0).alias("similarity"))
     cells = p.unionByName(p.select("layer", F.col("j").alias("i"), F.col("i").alias("j"), "similarity")).unionByName(d)
-    return check(cells).agg(F.count(F.lit(1)).alias("n_rules"), F.sum("n_bad").alias("n_errors"))
+    lifted = F.col("similarity") + F.when((i + j) % 97 == 0, 2.0).otherwise(0.0) + F.when((i < j) & ((i * j) % 101 == 5), 0.125).otherwise(0.0)
+    cells = cells.filter((i != 0) | (j != 0)).withColumn("similarity", F.when((i == j) & (i % 50 == 7), 0.5).when(i == j, 1.0).otherwise(lifted))
+    return check(cells)
 
 
 @query()

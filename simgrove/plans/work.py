@@ -41,11 +41,15 @@ def folder(spark: SparkSession, name: str) -> str:
 
 # ---- files ---------------------------------------------------------------------------------------------------------
 
-@query("select r_regionkey, r_name from region")
+@query("select r_regionkey, r_name, (place - 1)::int place, n_name from (select r_regionkey, r_name, n_name, row_number() over (partition by r_regionkey order by n_nationkey) place from region join nation on n_regionkey = r_regionkey)")
 def src_json(spark, sf):
+    """One record over several lines, with nested lists, read by an explicit schema."""
     p = folder(spark, "json")
-    files.write_json(t(spark, sf, "region"), p)
-    return spark.read.schema("r_regionkey int, r_name string").json(p)
+    n = t(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"]).alias("nations"))
+    whole = t(spark, sf, "region").join(n, "r_regionkey").agg(F.to_json(F.struct(F.collect_list(F.struct("r_regionkey", "r_name", "nations")).alias("regions")), {"pretty": "true"}).alias("value"))
+    whole.write.text(p)
+    r = files.read_json(spark, p, "regions array<struct<r_regionkey: int, r_name: string, nations: array<string>>>").select(F.inline("regions"))
+    return r.select("r_regionkey", "r_name", F.posexplode("nations").alias("place", "n_name"))
 
 
 @query("select n_nationkey, n_name, n_regionkey from nation")
@@ -94,10 +98,12 @@ def src_memmap(spark, sf):
     return rows.mapInPandas(unpack, "total double").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("total"), 4).alias("total"))
 
 
-@query("select r_name name, strlen(r_name)::bigint n_bytes, sha256(r_name) sha256 from region")
+@query("select strlen(n_name)::bigint + 1 n_bytes, sha256(n_name || chr(10)) sha256 from nation")
 def src_binary(spark, sf):
-    r = t(spark, sf, "region").select(F.col("r_name").alias("name"), F.col("r_name").cast("binary").alias("content"))
-    return r.select("name", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+    """Files, one for each nation, read as bytes."""
+    p = folder(spark, "binary")
+    t(spark, sf, "nation").select(F.col("n_name").alias("value"), F.col("n_nationkey").alias("k")).write.option("lineSep", "\n").partitionBy("k").text(p)
+    return files.read_binary(spark, f"{p}/*/*.txt").select("n_bytes", "sha256")
 
 
 @query("select sha256(n_name) sha256, n_name || '.txt' path from nation")
@@ -115,6 +121,32 @@ def src_http(spark, sf):
     return d.select(F.get_json_object("record", "$.key").cast("long").alias("key"))
 
 
+@query("""select k::bigint as key, case k % 4 when 0 then 'publisher/' || k when 1 then 'media/' || k when 2 then 'cache/' || k end address, case when k % 4 = 3 then 3 else k % 4 + 1 end::bigint attempts, case k % 4 when 0 then '' when 1 then 'http_404' when 2 then 'http_404,http_500' else 'http_404,http_500,http_404' end failures
+from (select p_partkey k from part)""")
+def src_http_cache(spark, sf):
+    """Each part's addresses tried in order until one answers, with a log of the attempts (there is no network here: the fetch function is a demonstration)."""
+    k = F.col("p_partkey")
+    a = t(spark, sf, "part").select(k.cast("long").alias("key"), F.array(F.concat(F.lit("publisher/"), k), F.concat(F.lit("media/"), k), F.concat(F.lit("cache/"), k)).alias("addresses"))
+    got = files.fetch_first(a, "addresses", files.demonstration_fetch)
+    return got.select("key", "address", F.size("attempts").cast("long").alias("attempts"), F.array_join(F.transform(F.filter("attempts", lambda x: ~x["ok"]), lambda x: x["reason"]), ",").alias("failures"))
+
+
+@query("select count(*) n_rows, sum(vec_id)::bigint ids, round(sum(list_sum(embedding::double[])), 4) total from embeddings")
+def snk_npy(spark, sf):
+    """The embeddings as .npy files, read again."""
+    p = folder(spark, "npy")
+    files.write_npy(t(spark, sf, "embeddings").select(F.col("vec_id").cast("double").alias("id"), "embedding").select(F.concat(F.array("id"), F.transform("embedding", lambda x: x.cast("double"))).alias("row")), "row", p)
+    r = files.read_npy(spark, p).select("row")
+    return r.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.col("row")[0]).cast("long").alias("ids"), F.round(F.sum(F.aggregate(F.slice("row", 2, 1_000_000), F.lit(0.0), lambda x, y: x + y)), 4).alias("total"))
+
+
+@query("select count(*) n_runs, true well_formed from region")
+def utc_now(spark, sf):
+    """Runs stamped with the time of the query: the form is compared, not the time."""
+    r = t(spark, sf, "region").select(text.utc_now().alias("at"))
+    return r.agg(F.count(F.lit(1)).alias("n_runs"), F.min(F.col("at").rlike("^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}Z$") & (F.abs(F.unix_timestamp(F.to_timestamp("at")) - F.unix_timestamp()) < 3600)).alias("well_formed"))
+
+
 @query("select l_returnflag, l_linestatus, count(*) n from lineitem group by 1, 2")
 def snk_json(spark, sf):
     p = folder(spark, "out")
@@ -177,7 +209,8 @@ select (row_number() over (order by r, s_nationkey) - 1)::bigint sample_index, s
 @query(RR)
 def round_robin_sample(spark, sf):
     """40 suppliers, one of each nation a round: the target is the operator's feature."""
-    s = curation.round_robin_sample(t(spark, sf, "supplier"), "s_nationkey", ["s_suppkey"], 40, F.col("s_acctbal") > 0)
+    target = 40
+    s = curation.round_robin_sample(t(spark, sf, "supplier"), "s_nationkey", ["s_suppkey"], target, F.col("s_acctbal") > 0)
     return s.select("sample_index", "s_nationkey", "s_suppkey")
 
 
@@ -204,9 +237,9 @@ def failure_counts(spark, sf):
     return f.select("user_id", F.array_join(F.transform(e, lambda x: F.concat(x["key"], F.lit("="), x["value"].cast("string"))), ",").alias("reasons"))
 
 
-@query("select p_partkey from part where p_size >= 20 and p_retailprice >= 1000")
+@query("select p_partkey from part where p_size >= 20 and p_retailprice >= 960")
 def min_dim_filter(spark, sf):
-    return t(spark, sf, "part").filter("p_size >= 20 and p_retailprice >= 1000").select("p_partkey")
+    return t(spark, sf, "part").filter("p_size >= 20 and p_retailprice >= 960").select("p_partkey")
 
 
 @query("select count(*) n_rows, count(quality) n_present, max(quality) top from documents left join labels using (doc_id)")
@@ -229,10 +262,11 @@ def verify_checksums(spark, sf):
     return curation.verify_manifest(listed, there).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity >= 48)")
 def manifest_files(spark, sf):
-    o = t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return t(spark, sf, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+    """Listed parts that no large line delivers: the manifest's rows without a file."""
+    l = t(spark, sf, "lineitem").filter("l_quantity >= 48").select(F.col("l_partkey").alias("p_partkey"))
+    return t(spark, sf, "part").select("p_partkey").join(l, "p_partkey", "left_anti")
 
 
 MANIFEST = [
@@ -251,11 +285,35 @@ def validate_sample(spark, sf):
     return curation.validate_sample(m, f, s, 3, ["CC0", "CC-BY"], 32, 32)
 
 
-@query("select 'nation' name, (select count(*) from nation)::bigint n_rows, 0::bigint n_null, 0::bigint n_unmatched")
+CELLS = """with recursive m(layer, r, i, j, s) as (select r_name, r_regionkey, a.n_nationkey, b.n_nationkey, ((a.n_nationkey * b.n_nationkey + r_regionkey) % 7) / 8.0::double from region, nation a, nation b where not (r_regionkey = 3 and a.n_nationkey = 24)),
+c as (select layer, r, i, j, case when r = 1 and i = 3 and j = 4 then 'nan'::double when r = 2 and i > j and i % 5 = 0 then s + 0.5 else s end s from m),
+u as (select layer, count(*) filter (where isnan(s)) bad, count(distinct i) rows, count(*) cells from c group by 1),
+o as (select a.layer, count(*) filter (where b.s is null or isnan(a.s) or isnan(b.s) or abs(a.s - b.s) > 1e-5 + 1e-5 * abs(b.s)) uneven from c a left join c b on a.layer = b.layer and a.i = b.j and a.j = b.i group by 1)
+"""
+
+
+@query(CELLS + """select null::varchar layer, 'manifest hash' rule union all select r_name, 'missing layer' from region where r_regionkey = 4 union all select 'extra', 'unexpected layer' union all select 'extra', 'missing matrix'
+union all select r_name, 'invalid critical_rate' from region where r_regionkey = 0 union all select layer, 'not finite' from u where bad > 0
+union all select layer, 'shape' from u where rows <> (select count(*) from nation) or cells <> (select count(*) * count(*) from nation) union all select layer, 'not symmetric' from o where uneven > 0""")
 def validate_results(spark, sf):
-    n, r = t(spark, sf, "nation"), t(spark, sf, "region")
-    bad = n.join(r, n["n_regionkey"] == r["r_regionkey"], "left_anti").agg(F.count(F.lit(1)).alias("n_unmatched"))
-    return n.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("n_name").isNull(), 1)).alias("n_null")).crossJoin(bad).select(F.lit("nation").alias("name"), "n_rows", "n_null", "n_unmatched")  # one row each
+    """Stored results, a matrix over the nations for each region, with planted faults: hash, layers, a null rate, a NaN, a missing row, unequal halves."""
+    r, n = t(spark, sf, "region"), t(spark, sf, "nation")
+    rk, i, j = F.col("r_regionkey"), F.col("i"), F.col("j")
+    ids = n.select(F.col("n_nationkey").alias("i"))
+    cells = r.join(F.broadcast(ids)).join(F.broadcast(ids.withColumnRenamed("i", "j"))).filter(~((rk == 3) & (i == 24)))  # region and nation are fixed small tables
+    s = ((i * j + rk) % 7) / 8.0
+    s = F.when((rk == 1) & (i == 3) & (j == 4), F.lit(float("nan"))).when((rk == 2) & (i > j) & (i % 5 == 0), s + 0.5).otherwise(s)
+    cells = cells.select(F.col("r_name").alias("layer"), i, j, s.alias("similarity"))
+    metrics = r.filter("r_regionkey < 4").select(F.col("r_name").alias("layer"), F.lit(0.1).alias("convergence_threshold"), F.lit(0.2).alias("critical_threshold"), F.when(rk > 0, 1.5).alias("critical_rate"))
+    metrics = metrics.union(spark.createDataFrame([("extra", 0.1, 0.2, 1.0)], "layer string, a double, b double, c double"))
+    config, manifest = (hashlib.sha256(x).hexdigest() for x in (b"config", b"manifest"))
+    size = n.agg(F.count(F.lit(1)).alias("n_samples"))
+    at = folder(spark, "faulty")
+    size.select(F.lit(config).alias("config_sha256"), F.lit(config).alias("sample_manifest_sha256"), "n_samples").write.parquet(f"{at}/summary")
+    metrics.write.parquet(f"{at}/metrics")
+    cells.write.parquet(f"{at}/cells")
+    names = [x[0] for x in r.select("r_name").collect()]  # five rows
+    return curation.validate_results(*(spark.read.parquet(f"{at}/{k}") for k in ("summary", "metrics", "cells")), names, size.first()[0], config, manifest)
 
 
 @query()

@@ -54,6 +54,70 @@ def write_arrays(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("layer").parquet(path)
 
 
+def write_npy(df: DataFrame, column: str, path: str) -> None:
+    """An array column as .npy matrices, one for each task, in a folder of one-column binary rows that `read_npy` and any reader of the bytes understand."""
+    import io
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                out = io.BytesIO()
+                np.save(out, np.stack(pdf[column].to_numpy()))
+                yield pd.DataFrame({"npy": [out.getvalue()]})
+
+    df.select(column).mapInPandas(run, "npy binary").write.mode("overwrite").parquet(path)
+
+
+def read_npy(spark: SparkSession, path: str) -> DataFrame:
+    """row: the rows of all matrices written by `write_npy`."""
+    import io
+
+    def run(batches):
+        for pdf in batches:
+            for x in pdf["npy"]:
+                yield pd.DataFrame({"row": list(np.load(io.BytesIO(x)))})
+
+    return spark.read.parquet(path).mapInPandas(run, "row array<double>")
+
+
+def fetch_first(rows: DataFrame, addresses: str, fetch) -> DataFrame:
+    """Each row's addresses tried in order until one answers: adds address and content (null if none does), and attempts, a log of address, ok, reason.
+
+    fetch(address) returns bytes, or raises OSError with the reason as its text. It runs on executors.
+    """
+    from pyspark.sql import types as T
+
+    keep = [f for f in rows.schema.fields]
+    tried = T.ArrayType(T.StructType([T.StructField("address", T.StringType()), T.StructField("ok", T.BooleanType()), T.StructField("reason", T.StringType())]))
+    schema = T.StructType([*keep, T.StructField("address", T.StringType()), T.StructField("content", T.BinaryType()), T.StructField("attempts", tried)])
+
+    def one(names):
+        log = []
+        for a in names if names is not None else []:
+            try:
+                content = fetch(a)
+            except OSError as e:
+                log.append({"address": a, "ok": False, "reason": str(e)})
+                continue
+            return a, content, [*log, {"address": a, "ok": True, "reason": None}]
+        return None, None, log
+
+    def run(batches):
+        for pdf in batches:
+            got = [one(x) for x in pdf[addresses]]
+            yield pdf.assign(address=[x[0] for x in got], content=[x[1] for x in got], attempts=[x[2] for x in got])
+
+    return rows.mapInPandas(run, schema)
+
+
+def demonstration_fetch(address: str) -> bytes:
+    """For tests and demonstrations: by the number at its end, an address answers at once, on the second or third place, or nowhere."""
+    place, _, k = address.partition("/")
+    if ("publisher", "media", "cache").index(place) < int(k) % 4:
+        raise OSError("http_500" if place == "media" else "http_404")
+    return address.encode()
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """sha256 and name of every file below a folder."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
