@@ -151,10 +151,16 @@ def leaves(components: DataFrame) -> DataFrame:
     return components.filter("left_cluster is null").select("layer", F.col("min_member").alias("sample_id"), F.col("lo").alias("place"))
 
 
+def at_places(components: DataFrame, run: int = 4096) -> DataFrame:
+    """A row for each place of each component (place in lo to hi - 1), so that places join by equality; at most `run` places are made at once."""
+    c = components.withColumn("run_", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(run).cast(components.schema["lo"].dataType))))
+    return c.withColumn("place", F.explode(F.sequence("run_", F.least(F.col("run_") + (run - 1), F.col("hi") - 1)))).drop("run_")
+
+
 def with_members(components: DataFrame, all_components: DataFrame) -> DataFrame:
     """Adds members (sorted ids): the leaves in each component's range."""
-    l = leaves(all_components).withColumnsRenamed({"layer": "layer_", "sample_id": "sample_id_"})
+    l = leaves(all_components).withColumnRenamed("sample_id", "sample_id_")
     keys = components.select("layer", "comp_id", "lo", "hi").distinct()
-    m = keys.join(l, (F.col("layer") == F.col("layer_")) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
+    m = at_places(keys).join(l, ["layer", "place"])
     m = m.groupBy("layer", "comp_id").agg(F.array_sort(F.collect_list("sample_id_")).alias("members"))
     return components.join(m, ["layer", "comp_id"])

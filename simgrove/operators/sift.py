@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from simgrove.operators.forest import leaves
+from simgrove.operators.forest import at_places, leaves
 
 
 def convergence_values(start: float = 0.999, step: float = 0.02) -> list[float]:
@@ -83,8 +83,7 @@ def at_steps(components: DataFrame, g: DataFrame) -> DataFrame:
 def membership(components: DataFrame, g: DataFrame) -> DataFrame:
     """layer, step, threshold, sample_id, cluster_id, cluster_size, comp_id: by the samples' places in the leaf order."""
     c = at_steps(components, g)
-    l = leaves(components).withColumnRenamed("layer", "l_")
-    j = c.join(l, (F.col("layer") == F.col("l_")) & (F.col("place") >= F.col("lo")) & (F.col("place") < F.col("hi")))
+    j = at_places(c).join(leaves(components), ["layer", "place"])
     return j.select("layer", "step", "threshold", "sample_id", "cluster_id", F.col("size").alias("cluster_size"), "comp_id")
 
 
