@@ -37,15 +37,15 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 VALUES = ", ".join(f"({k}, {t!r}::double)" for k, t in enumerate(TH))
 _CONV = sift.convergence_values()
 UNIT = """n as (select i, list_transform(v, lambda x: x / case when q = 0 then 1.0::double else q end) v from (select vec_id i, embedding::double[] v, sqrt(list_inner_product(embedding::double[], embedding::double[])) q from embeddings)),
-p as (select a.i i, b.i j, greatest(-1.0::double, least(1.0::double, list_inner_product(a.v, b.v))) s from n a join n b on a.i < b.i)"""
+p as materialized (select a.i i, b.i j, greatest(-1.0::double, least(1.0::double, list_inner_product(a.v, b.v))) s from n a join n b on a.i < b.i)"""
 
 
 def sql_parts(values: str = VALUES) -> str:
     return f"""with recursive {UNIT},
 th(step, t) as (values {values}),
-e as (select step, i, j from p join th on s > t union all select step, j, i from p join th on s > t),
+e as materialized (select step, i, j from p join th on s > t union all select step, j, i from p join th on s > t),
 cc(step, i, rep) as (select step, i, i from n, th union select e.step, e.j, cc.rep from cc join e on e.step = cc.step and e.i = cc.i where cc.rep < e.j),
-m as (select step, i, min(rep) rep from cc group by 1, 2),
+m as materialized (select step, i, min(rep) rep from cc group by 1, 2),
 c as (select step, rep, count(*) size, list_sort(list(i)) members from m group by 1, 2),
 k as (select step, t threshold, rep, size, members, (dense_rank() over (partition by step order by rep) - 1)::bigint cluster_id from c join th using (step)),
 mk as (select m.step, m.i, k.threshold, k.cluster_id, k.size, k.members, m.rep from m join k on m.step = k.step and m.rep = k.rep)
