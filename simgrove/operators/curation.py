@@ -29,15 +29,18 @@ def rights_metadata(occurrences: DataFrame, media: DataFrame, wanted: DataFrame)
     return j.select("key", "identifier", pick("license"), pick("rights"), pick("rights_holder"), F.coalesce(F.col("m.creator"), F.lit("")).alias("creator"))
 
 
-def round_robin_sample(pool: DataFrame, stratum: str, order: list[str], target: int, valid=None) -> DataFrame:
-    """One valid candidate of each stratum a round, strata in the order of their names, until target: adds sample_index. A pool with fewer valid rows than target is an error, raised when the result is read."""
+def round_robin_sample(pool: DataFrame, stratum: str, order: list[str], target: int, valid=None, strict: bool = True) -> DataFrame:
+    """One valid candidate of each stratum a round, strata in the order of their names, until target: adds sample_index. With strict, a pool with fewer valid rows than target is an error, raised when the result is read."""
     p = pool if valid is None else pool.filter(valid)
     p = p.withColumn("round", F.row_number().over(W.partitionBy(stratum).orderBy(*order)))
     top = p.filter(F.col("round") <= target).orderBy("round", stratum).limit(target)
     everything = W.partitionBy()  # target rows at most
+    number = (F.row_number().over(everything.orderBy("round", stratum)) - 1).cast("long")
+    if not strict:
+        return top.withColumn("sample_index", number)
     n = F.count(F.lit(1)).over(everything)
     whole = F.when(n < target, F.raise_error(F.concat(F.lit(f"the pool has fewer than {target} valid rows: "), n.cast("string"))).cast("long"))
-    return top.withColumn("sample_index", F.coalesce(whole, (F.row_number().over(everything.orderBy("round", stratum)) - 1).cast("long")))
+    return top.withColumn("sample_index", F.coalesce(whole, number))
 
 
 def pool_cap(pool: DataFrame, stratum: str, key: str, arrival: list[str], cap: int) -> DataFrame:

@@ -39,6 +39,16 @@ def test_unequal_strata(spark):
     pool = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 9)], "family string, k int")
     got = curation.round_robin_sample(pool, "family", ["k"], 3).orderBy("sample_index").collect()
     assert [(r["family"], r["k"]) for r in got] == [("a", 1), ("b", 9), ("a", 2)]
+    assert curation.round_robin_sample(pool, "family", ["k"], 9, strict=False).count() == 4
+    with pytest.raises(Exception, match="fewer than 9 valid rows: 4"):
+        curation.round_robin_sample(pool, "family", ["k"], 9).collect()
+
+
+def test_addresses_in_order_with_a_log(spark):
+    d = spark.createDataFrame([(1, ["publisher/1", "media/1"]), (3, ["publisher/3"]), (4, []), (5, None)], "k int, at array<string>")
+    got = {r["k"]: r for r in files.fetch_first(d, "at", files.demonstration_fetch).collect()}
+    assert got[1]["address"] == "media/1" and bytes(got[1]["content"]) == b"media/1" and [(a["address"], a["ok"], a["reason"]) for a in got[1]["attempts"]] == [("publisher/1", False, "http_404"), ("media/1", True, None)]
+    assert got[3]["address"] is None and len(got[3]["attempts"]) == 1 and got[4]["attempts"] == [] and got[5]["address"] is None
 
 
 def test_null_metrics_stay_null(spark):
@@ -72,7 +82,7 @@ def test_stream_equals_batch(spark, sf, tmp_path):
     assert spark.table("windows").count() == want.count() > 0
 
 
-@pytest.mark.parametrize("name", ["component_curve", "merge_events", "round_robin_sample", "normalize_license", "correlations"])
+@pytest.mark.parametrize("name", ["component_curve", "merge_events", "round_robin_sample", "normalize_license", "correlations", "validate_results", "validate_matrix", "verify_linkage", "critical_threshold", "src_json", "src_binary", "src_http_cache", "snk_npy", "utc_now", "threshold_snapshots"])
 def test_queries_equal_sql(spark, sf, name):
     con = duckdb.connect()
     for t in TABLES:
