@@ -20,10 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from simgrove.llm.common import discard, fresh, stored
+from simgrove.llm.common import broadcast_if_small, discard, fresh, stored
 
 CAP, UNIT, OFFSETS, CYCLE = 3, 1 << 20, 32, 3
 STEPS = 60
+#: tables of one row a source are broadcast up to so many counted rows; beyond, the planner's shuffled join stays
+BROADCAST_ROWS = 100_000
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -66,10 +68,11 @@ def solve(hist: DataFrame, srcs: DataFrame, cap: int = CAP) -> DataFrame:
         (-60.0 * F.col("source_size") / F.col("docs") / F.col("least")).alias("lo"), (2.0 * F.col("source_size") / F.col("docs") / F.col("least")).alias("hi"),
     )
     state = stored(state, "state")
+    sources = state.count()
     for _ in range(STEPS):
         r = rate(F.col("lam"), F.col("size"), F.col("mean"), cap)
         big = lambda c: c.cast("decimal(38,0)")
-        h = hist.join(state.select("key", "lam", "mean"), "key").withColumn("r", r)
+        h = hist.join(broadcast_if_small(state.select("key", "lam", "mean"), sources, BROADCAST_ROWS), "key").withColumn("r", r)
         sums = h.groupBy("key").agg(
             F.sum(big(F.col("r") * F.col("size")) * big(F.col("n"))).alias("got"),
             F.sum(F.when(F.col("r") < cap * UNIT, big(F.col("r") * F.col("size")) * big(F.col("n") * F.col("size"))).otherwise(big(F.lit(0)))).alias("slope"),
@@ -99,9 +102,9 @@ def mix(docs: DataFrame, cap: int = CAP, doc_id: str = "doc_id", text: str = "te
     srcs = stored(targets(hist.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), cap), "targets")
     lams = solve(hist.filter("size > 0"), srcs, cap)
     # distinct sizes are few beside documents: rates are joined once for each (source, size)
-    plan = srcs.join(lams.select("key", "lam", "mean"), "key", "left")
+    plan, sources = srcs.join(lams.select("key", "lam", "mean"), "key", "left"), srcs.count()
     r = F.when(F.col("target") >= F.col("source_size") * float(cap), F.lit(cap * UNIT)).otherwise(rate(F.col("lam"), F.col("size"), F.col("mean"), cap))
-    d = d.join(plan.drop("source"), "key").withColumn("r", F.when(F.col("size") > 0, r).otherwise(F.lit(UNIT)).cast("long"))
+    d = d.join(broadcast_if_small(plan.drop("source"), sources, BROADCAST_ROWS), "key").withColumn("r", F.when(F.col("size") > 0, r).otherwise(F.lit(UNIT)).cast("long"))
     d = d.withColumns({"class": F.floor(F.log2(F.greatest("size", F.lit(1))) * 8).cast("int"), "part": F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(64)).cast("int")})
     d = stored(d.select("doc_id", "text_key", "key", "size", "source_size", "target", "r", "class", "part"), "rates")
     group = ["key", "class", "part"]
@@ -117,7 +120,7 @@ def mix(docs: DataFrame, cap: int = CAP, doc_id: str = "doc_id", text: str = "te
     starts = [UNIT * (2 * i + 1) // (2 * OFFSETS) for i in range(OFFSETS)]
     words = d.groupBy("key").agg(*[F.sum(copies(F.lit(s)) * F.col("size")).alias(f"w{i}") for i, s in enumerate(starts)], F.first("target").alias("target"))
     best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{i}") - F.col("target")), F.lit(s)) for i, s in enumerate(starts)]))[F.lit("col2")]
-    d = d.join(words.select("key", best.alias("start")), "key").withColumn("copies", F.least(copies(F.col("start")), F.lit(cap)).cast("long"))
+    d = d.join(broadcast_if_small(words.select("key", best.alias("start")), sources, BROADCAST_ROWS), "key").withColumn("copies", F.least(copies(F.col("start")), F.lit(cap)).cast("long"))
     return d.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", (F.col("r") / UNIT).alias("rate"), "text_key", F.col("key").alias("source_key"))
 
 
