@@ -530,9 +530,7 @@ EVO = f"""with {LAYERED}, ev as (select i, j, arg_min(s, k) f, arg_max(s, k) l,
 
 
 def evolution(spark, sf):
-    f = src.layered(spark, sf)
-    order = spark.createDataFrame([(f"layer_{k + 1}", k) for k in range(4)], "layer string, layer_ordinal int")
-    return layers.pair_evolution(similarity.pair_similarity(f), order)
+    return layers.pair_evolution_of(src.layered(spark, sf))
 
 
 @query(EVO + " select i, j, round(f, 5) as first, round(l, 5) as last, round(l - f, 5) delta, round(mn, 5) as min, round(mx, 5) as max, round(mx - mn, 5) as range, round(mean, 5) mean, round(std, 5) std, 'layer_' || kmin layer_of_min, 'layer_' || kmax layer_of_max from ev")
