@@ -18,7 +18,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -191,10 +191,8 @@ class CachedTokenizer:
             ids = np.array(self.t.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.dtype)
             cut = np.flatnonzero(self.ends[ids]) + 1 if len(ids) else np.zeros(0, int)
             if len(cut) == len(part) and cut[-1] == len(ids):
-                raw, first = ids.tobytes(), 0
-                for w, c in zip(part, (cut * self.width).tolist()):
-                    self.words[w] = raw[first:c]
-                    first = c
+                raw, at = ids.tobytes(), (cut * self.width).tolist()
+                self.words.update(zip(part, [raw[a:b] for a, b in zip([0, *at], at)]))
             else:
                 for w in part:
                     self.words[w] = self._plain(w)
@@ -212,24 +210,21 @@ class CachedTokenizer:
         if len(self.words) > CACHE:
             self.words.clear()
         pieces = self.pieces
-        simple: list[tuple[bytes, list[str]]] = []
-        for p in set(chain.from_iterable(split)).difference(pieces):
-            s = p.decode("utf-8", "replace")
-            if not p.isascii() and max(s) > "\xff":
-                pieces[p] = self._plain(s)
-                continue
-            s = s.lower()
-            if s.isalpha():
-                ws = [s]
-            elif s[-1] in ".," and s[:-1].isalpha():
-                ws = [s[:-1], s[-1]]
-            else:
-                ws = PIECES.findall(s)
-            simple.append((p, ws))
-        self._learn_words(sorted(set(chain.from_iterable(ws for _, ws in simple)).difference(self.words)))
+        new = list(set(chain.from_iterable(split)).difference(pieces))
+        joined = b" ".join(new).decode("utf-8", "replace")
+        if not joined.isascii() and max(joined) > "\xff":
+            wide = [p for p in new if not p.isascii() and max(p.decode("utf-8", "replace")) > "\xff"]
+            pieces.update((p, self._plain(p.decode("utf-8", "replace"))) for p in wide)
+            new = list(set(new).difference(wide))
+            joined = b" ".join(new).decode("utf-8", "replace")
+        low = joined.lower().split(" ")
+        whole = list(map(str.isalpha, low))  # one word, as most are
+        alone = list(compress(low, whole))
+        divided = [(p, [s[:-1], s[-1]] if s[-1] in ".," and s[:-1].isalpha() else PIECES.findall(s)) for p, s, w in zip(new, low, whole) if not w]
+        self._learn_words(list(set(chain(alone, chain.from_iterable(ws for _, ws in divided))).difference(self.words)))
         ids = self.words.__getitem__
-        for p, ws in simple:
-            pieces[p] = ids(ws[0]) if len(ws) == 1 else b"".join(map(ids, ws))
+        pieces.update(zip(compress(new, whole), map(ids, alone)))
+        pieces.update((p, b"".join(map(ids, ws))) for p, ws in divided)
         found = pieces.__getitem__
         out = [b"".join(map(found, parts)) for parts in split]
         for i in odd:
