@@ -35,7 +35,8 @@ from simgrove.llm.shared_files import get, put
 MAGIC, SAMPLE, BLOCK = b"EFTOK1\0\0", 256, 1 << 16
 #: a segment is closed at so many ids; a longer document is a segment of its own
 SEGMENT_IDS = 1 << 24
-CACHE = 400_000
+#: entries of each of a worker's two caches, some 200 bytes each at most for usual words
+CACHE = 1_000_000
 
 
 class EliasFano:
