@@ -8,8 +8,8 @@ compressed once with each dictionary. A calibrated table turns (word length, ord
 log-likelihood ratio with which training documents of either label hold such a window. A document's score is a logistic function of
 the sum over its different windows, fitted on the training rows.
 
-The model is fitted on a bounded sample of labelled rows (MAX_TOXIC and MAX_ORDINARY rows, those whose hashed ids are smallest); scoring
-reads every whole text. Labels, language, source and id never enter a score.
+The model is fitted on a bounded sample of labelled rows (MAX_TOXIC and MAX_ORDINARY rows, those whose hashed ids are smallest), in one
+task, which holds the sample's words and not its texts; the driver gets the model. Scoring reads every whole text. Labels, language, source and id never enter a score.
 
 Defined results: a null or empty text gets the score of a text without toxic windows; a null id is in the fold of the text '' and never learnt from; null labels are not
 learnt from; an id with several labels counts as toxic if one says so; without labels of both kinds every score is the share of toxic labels (0 without labels);
@@ -19,11 +19,12 @@ repeated rows each get a row; a very long text is scored whole, in memory for it
 from __future__ import annotations
 
 import math
+import pickle
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -97,45 +98,59 @@ def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
 
-def _dictionary(words: list[bytes], size: int) -> bytes:
-    """Dictionary content for windows of these words: all of them, commonest last (nearest), if they fit; else zstandard's trainer chooses."""
+def _dictionary(words: list[bytes], ids: np.ndarray, size: int) -> bytes:
+    """Dictionary content for windows of the words that ids name: all of them, commonest last (nearest), if they fit; else zstandard's trainer chooses."""
     pad = b"\n" * 16  # the last bytes of a dictionary are not indexed
-    count = Counter(words)
-    plain = b"".join(_body(w) for w, _ in sorted(count.items(), key=lambda x: (x[1], x[0])))
-    if len(plain) <= size:
-        return plain + pad
+    there, count = np.unique(ids, return_counts=True)
+    there = there[np.lexsort((there, count))].tolist()
+    plain = lambda: b"".join(_body(words[k]) for k in there)
+    if sum(len(_body(words[k])) for k in there) <= size:
+        return plain() + pad
     try:
-        samples = [_body(w) for w in words[:: max(1, len(words) // 200_000)]]
+        bodies: dict[int, bytes] = {}  # equal samples share their bytes
+        samples = [bodies.get(k) or bodies.setdefault(k, _body(words[k])) for k in ids[:: max(1, len(ids) // 200_000)].tolist()]
         return zstandard.train_dictionary(size, samples).as_bytes() + pad
     except zstandard.ZstdError:
-        return plain[-size:] + pad
-
-
-def stand_out(toxic: list[set[bytes]], ordinary: list[set[bytes]]) -> set[bytes]:
-    """Beginnings of words (with the space before) far likelier in toxic documents: a ratio of 8 or more, and more than chance gives."""
-    def count(docs: list[set[bytes]], among: set[bytes] | None = None) -> Counter:
-        out: Counter = Counter()
-        for ws in docs:
-            seen: set[bytes] = set()
-            for w in ws:
-                x = b" " + w + b" "
-                seen.update(x[:n] for n in GRAMS if n <= len(x))
-            out.update(seen if among is None else seen & among)
-        return out
-
-    many = count(toxic)
-    # chance: the log-likelihood ratio must exceed what the best of so many beginnings reaches by itself
-    chance = 4 + math.log(len(many) + 1)
-    many = {g: c for g, c in many.items() if c >= 3}
-    few = count(ordinary, set(many))
-    out = set()
-    for g, c in many.items():
-        a, b = c / len(toxic), (few[g] + 0.5) / (len(ordinary) + 1)
-        if a >= 8 * b and c * math.log(a / b) - c + b * len(toxic) >= chance:
-            out.add(g)
+        return plain()[-size:] + pad
+
+
+def _beginnings(words: list[bytes]) -> tuple[np.ndarray, int]:
+    """Of sorted words the numbers of their beginnings (with the space before) of GRAMS bytes, -1 where a word is shorter; and how many there are."""
+    out, made = np.full((len(words), len(GRAMS)), -1, np.int32), 0
+    for j, n in enumerate(GRAMS):
+        last = None
+        for k, w in enumerate(words):
+            if n <= len(w) + 2:
+                x = (w + b" ")[: n - 1]  # words are sorted, so equal beginnings follow each other
+                if x != last:
+                    last, made = x, made + 1
+                out[k, j] = made - 1
+    return out, made
+
+
+def _held(docs: list[np.ndarray], of: np.ndarray, n: int) -> np.ndarray:
+    """In how many documents (of word numbers) each of n things is, if word k has of[k]; -1 is none."""
+    out = np.zeros(n, np.int64)
+    for d in docs:
+        here = np.unique(of[d])
+        out[here[here >= 0]] += 1
     return out
 
 
+def stand_out(toxic: list[np.ndarray], ordinary: list[np.ndarray], words: list[bytes]) -> np.ndarray:
+    """Which of the sorted words begin (with the space before) in a way far likelier in toxic documents: a ratio of 8 or more, and more than chance gives."""
+    of, n = _beginnings(words)
+    many, few = _held(toxic, of, n), _held(ordinary, of, n)
+    # chance: the log-likelihood ratio must exceed what the best of so many beginnings reaches by itself
+    chance = 4 + math.log(int((many > 0).sum()) + 1)
+    good = np.zeros(n + 1, bool)  # the last for -1
+    for g in np.flatnonzero(many >= 3).tolist():
+        c = int(many[g])
+        a, b = c / len(toxic), (int(few[g]) + 0.5) / (len(ordinary) + 1)
+        good[g] = a >= 8 * b and c * math.log(a / b) - c + b * len(toxic) >= chance
+    return good[of].any(axis=1)
+
+
 @dataclass
 class Model:
     toxic: bytes = b" "
@@ -181,44 +196,37 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(rows: list[tuple[str | None, int]]) -> Model:
-    """rows: (text, label). Deterministic."""
-    one: dict[bytes, bytes] = {}  # equal words of different documents share their bytes
-    toxic, ordinary = ([{one.setdefault(w, w) for w in windows(t)} for t, y in rows if bool(y) == kind] for kind in (True, False))
-    if not toxic or not ordinary:
-        share = len(toxic) / max(1, len(rows))
-        return Model(offset=30.0 if share == 1 else -30.0 if share == 0 else math.log(share / (1 - share)))
-    groups = stand_out(toxic, ordinary)
+def _numbered(rows: Iterable[tuple[str | None, int]]) -> tuple[list[bytes], list[np.ndarray], list[int]]:
+    """The different words of all rows, sorted; the words of each row as sorted numbers; the labels. Texts are not kept."""
+    number: dict[bytes, int] = {}
+    docs, labels = [], []
+    for text, y in rows:
+        docs.append(np.array([number.setdefault(w, len(number)) for w in windows(text)], np.int32))
+        labels.append(1 if y else 0)
+    words = sorted(number)
+    rank = np.zeros(len(words), np.int32)
+    rank[np.fromiter((number[w] for w in words), np.int64, len(words))] = np.arange(len(words), dtype=np.int32)
+    return words, [np.sort(rank[d]) for d in docs], labels
 
-    def standing(w: bytes) -> bool:
-        x = b" " + w + b" "
-        return any(x[:n] in groups for n in GRAMS)
 
-    model = Model(
-        toxic=_dictionary([w for ws in toxic for w in sorted(ws) if standing(w)], TOXIC_BYTES),
-        ordinary=_dictionary([w for ws in ordinary for w in sorted(ws)], ORDINARY_BYTES),
-    )
+def fit(rows: Iterable[tuple[str | None, int]]) -> Model:
+    """rows: (text, label), read once. Deterministic. Of a text only the numbers of its words are held."""
+    words, docs, labels = _numbered(rows)
+    toxic, ordinary = ([d for d, y in zip(docs, labels) if y == kind] for kind in (1, 0))
+    if not toxic or not ordinary:
+        share = len(toxic) / max(1, len(docs))
+        return Model(offset=30.0 if share == 1 else -30.0 if share == 0 else math.log(share / (1 - share)))
+    standing, flat = stand_out(toxic, ordinary, words), np.concatenate(toxic)
+    model = Model(toxic=_dictionary(words, flat[standing[flat]], TOXIC_BYTES), ordinary=_dictionary(words, np.concatenate(ordinary), ORDINARY_BYTES))
     s, keys = model.scorer(), {}
-
-    def kinds(docs: list[set[bytes]]) -> Counter:
-        out: Counter = Counter()
-        for ws in docs:
-            here = set()
-            for w in ws:
-                if w not in keys:
-                    keys[w] = s.key(w)
-                here.add(keys[w])
-            out.update(here)
-        return out
-
-    many, few = kinds(toxic), kinds(ordinary)
-    for k in many:
-        a, b = (many[k] + 0.1) / (len(toxic) + 1), (few[k] + 0.5) / (len(ordinary) + 1)
-        if k[1] > k[2] and many[k] >= 2 and a > 3 * b:
+    kind = np.fromiter((keys.setdefault(s.key(w), len(keys)) for w in words), np.int32, len(words))
+    many, few = _held(toxic, kind, len(keys)).tolist(), _held(ordinary, kind, len(keys)).tolist()
+    for k, i in keys.items():
+        a, b = (many[i] + 0.1) / (len(toxic) + 1), (few[i] + 0.5) / (len(ordinary) + 1)
+        if k[1] > k[2] and many[i] >= 2 and a > 3 * b:
             model.table[k] = math.log(a / b)
-    s = model.scorer()
-    x = [(s.evidence(t), 1 if y else 0) for t, y in rows]
-    model.slope, model.offset = _logistic(x)
+    ratio = np.array([model.table.get(k, 0.0) for k in keys])
+    model.slope, model.offset = _logistic([(math.fsum(ratio[kind[d]].tolist()), y) for d, y in zip(docs, labels)])
     return model
 
 
@@ -251,20 +259,36 @@ def _logistic(x: list[tuple[float, int]]) -> tuple[float, float]:
     return slope, -slope * cut
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fold: int = 5, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[str | None, int]]:
-    """The bounded sample: only rows outside the held-out fold."""
+def training_sample(docs: DataFrame, labels: DataFrame, fold: int = 5, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The bounded sample (text, y), one partition in order of id and text: only rows outside the held-out fold."""
     l = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (fold_of(F.col(doc_id), fold) != 0)).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("y"))
     h = F.xxhash64("doc_id")
     ids = l.filter("y > 0").orderBy(h, "doc_id").limit(MAX_TOXIC).unionByName(l.filter("y <= 0").orderBy(h, "doc_id").limit(MAX_ORDINARY))
     got = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(ids), "doc_id")  # at most MAX_TOXIC + MAX_ORDINARY ids
     # ids can repeat: the bound is one of rows
     got = got.filter("y > 0").orderBy(h, "doc_id", "text").limit(MAX_TOXIC).unionByName(got.filter("y <= 0").orderBy(h, "doc_id", "text").limit(MAX_ORDINARY))
-    return [(r["text"], int(r["y"] > 0)) for r in sorted(got.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))]
+    return got.coalesce(1).sortWithinPartitions("doc_id", F.coalesce("text", F.lit(""))).select("text", F.when(F.col("y") > 0, 1).otherwise(0).alias("y"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, fold: int = 5, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> list[tuple[str | None, int]]:
+    """The bounded sample brought to the driver."""
+    return [(r["text"], r["y"]) for r in training_sample(docs, labels, fold, doc_id, text, label).collect()]
+
+
+def _fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = fit((t.as_py(), y.as_py()) for b in batches for t, y in zip(b.column("text"), b.column("y")))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+
+def trained(sample: DataFrame) -> Model:
+    """The model, fitted in one task: texts and words of the sample don't come to the driver."""
+    got = sample.mapInArrow(_fit, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else fit([])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, fold: int = 5, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", keep: list[str] | None = None) -> DataFrame:
     """Each document's doc_id, held_out, score, predicted; columns in keep come along."""
-    model = fit(training_rows(docs, labels, fold, doc_id, text, label))
+    model = trained(training_sample(docs, labels, fold, doc_id, text, label))
     keep = keep or []
     inner = docs.select(F.col(doc_id).alias("doc_id"), (fold_of(F.col(doc_id), fold) == 0).alias("held_out"), F.col(text).alias("simgrove_text"), *[F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
 

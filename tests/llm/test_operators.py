@@ -117,6 +117,33 @@ def test_toxicity_in_small_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The sample and the words of its texts stay out of the driver, and the fit holds numbers instead of words."""
+    import tracemalloc
+
+    rng = random.Random(6)
+    rows = [(i, None if i == 9 else " ".join(rng.choices(WORDS + ["rotten"] * 9 * (i % 3 == 0), k=30)), "s") for i in range(120)]
+    d = frame(spark, rows + rows[:30]).repartition(5)
+    l = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(120)], "doc_id long, quality int, toxic int")
+    label = {t: i % 3 == 0 for i, t, _ in rows}
+    sample = toxicity.training_rows(d, l)
+    assert sample == [(t, int(label[t])) for i, t, _ in sorted(rows + rows[:30], key=lambda r: r[0]) if zlib.crc32(str(i).encode()) % 5]
+    assert toxicity.trained(toxicity.training_sample(d, l)) == toxicity.fit(sample) and toxicity.fit(sample).table
+
+    long = [(" ".join(f"word{rng.randrange(20000)}" for _ in range(2000)) + " rotten" * (i % 2), i % 2) for i in range(200)]
+    tracemalloc.start()
+    toxicity.fit(iter(long))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # 200 sets of 2,000 words took more
+
+    def refuse(rows):
+        raise AssertionError("the driver fits")
+
+    monkeypatch.setattr(toxicity, "fit", refuse)
+    assert {r["predicted"] for r in toxicity.score_documents(d, l).collect()} == {0, 1}
+
+
 def test_pieces_have_one_schema():
     import pyarrow as pa
 
